@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def local_session(cpus: int | str = 8, app: str = "sedimenta", **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -26,6 +31,19 @@ def local_session(cpus: int | str = 8, app: str = "sedimenta", **conf: str) -> S
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, unless it is on their path already: installed, on PYTHONPATH or in
+    the directory they start in."""
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    if ROOT in known or Path.cwd() == ROOT or "site-packages" in ROOT.parts or getattr(sc, "_sedimenta_shipped", False):
+        return
+    folder = tempfile.mkdtemp()  # on the driver only; Spark's own file server hands it out
+    sc.addPyFile(shutil.make_archive(f"{folder}/sedimenta", "zip", ROOT, "sedimenta"))
+    sc._sedimenta_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; a Parquet file or a folder of them."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sedimenta.llm.common import removed, written
 from sedimenta.llm.exact_dedup import exact_dedup
 from sedimenta.llm.near_dedup import near_dedup
 from sedimenta.llm.packing import pack
@@ -50,11 +51,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over the documents of `sf_dir`."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages one after another over the documents of `sf_dir`. What a stage keeps is written to the cluster's shared
+    folder, so that no later one works it out again; packing holds numbers only, so at the end those tables go."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        kept = written(stage(spark, docs, sf_dir))
+        docs = spark.read.parquet(kept)
+        if last:
+            removed(spark, last)
+        last = kept
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    removed(spark, last)
+    return packed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

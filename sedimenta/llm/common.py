@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> str:
+    """The path of a Parquet copy of the table in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of `written`."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these which the table doesn't have, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sedimenta.llm.bpe import encode_decode
 from sedimenta.llm.chat import chat_format
 from sedimenta.llm.exact_dedup import exact_dedup
+from sedimenta.llm.licenses import license_scan
 from sedimenta.llm.lm_score import lm_score
 from sedimenta.llm.near_dedup import near_dedup
 from sedimenta.llm.packing import pack
@@ -32,6 +33,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_near_dedup, op5_exact_dedup, op6_packing, op7_quality, op8_lm_score, op9_topk, op10_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_near_dedup, op4_licenses, op5_exact_dedup, op6_packing, op7_quality, op8_lm_score, op9_topk, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

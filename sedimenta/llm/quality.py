@@ -42,8 +42,10 @@ def lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offs[:-1], breaks + 1]))
     starts = starts[starts < len(data)]
-    ends = np.minimum(np.concatenate([starts[1:], [len(data)]]), len(data))
-    ends = ends - (data[ends - 1] == 10) if len(ends) else ends
+    if not len(starts):
+        return starts, starts, np.zeros(len(offs), np.int64)
+    ends = np.concatenate([starts[1:], [len(data)]])
+    ends = ends - (data[ends - 1] == 10)
     solid = np.concatenate([[0], np.cumsum((_CLASS[data] != 4) & (data != 10))])
     keep = solid[ends] > solid[starts]
     starts, ends = starts[keep], ends[keep]

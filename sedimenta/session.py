@@ -47,3 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; a Parquet file or a folder of them."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table written to the checkpoint folder and read from there: a loop's lineage ends here, and lost
+    executors don't lose it. The folder is the cluster's (spark.checkpoint.dir); one of our own only where none is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedimenta-checkpoint-"))
+    return df.checkpoint(eager=True)

@@ -62,10 +62,20 @@ def change_events(snaps: DataFrame, born: bool = True) -> DataFrame:
     return s.select("feature_id", "commit_id", F.explode(F.array_compact(F.array(*events))).alias("e")).select("feature_id", "commit_id", "e.*").dropDuplicates(["feature_id", "commit_id", "event_type"])
 
 
+def following(df: DataFrame, column: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """(column, name): every distinct integer with the next larger one. A window over everything would run in one task: ranges of
+    `width` are ordered side by side, and the last of a range takes the least of the next one that isn't empty."""
+    ids = df.select(column).distinct().withColumn("range", F.floor(F.col(column) / width))
+    heads = ids.groupBy("range").agg(F.min(column).alias("head"))
+    heads = heads.select("range", F.lead("head").over(Window.orderBy("range")).alias("head"))  # one row a range
+    inner = ids.withColumn(name, F.lead(column).over(Window.partitionBy("range").orderBy(column)))
+    return inner.join(heads, "range").select(column, F.coalesce(name, "head").alias(name))
+
+
 def died_events(snaps: DataFrame, commits: DataFrame) -> DataFrame:
     """(feature_id, commit_id, last_commit, last_nodes, last_file): the commit after one in which a feature was seen and from which it is gone. A
     feature that comes back dies again when it goes again."""
-    nxt = commits.select("commit_id", F.lead("commit_id").over(Window.orderBy("commit_id")).alias("next_commit"))
+    nxt = following(commits, "commit_id", "next_commit")
     w = Window.partitionBy("feature_id").orderBy("commit_id")
     s = snaps.withColumn("seen_again", F.lead("commit_id").over(w)).join(nxt, "commit_id")
     gone = s.filter(F.col("next_commit").isNotNull() & (F.col("seen_again").isNull() | (F.col("seen_again") > F.col("next_commit"))))

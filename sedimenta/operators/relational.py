@@ -173,9 +173,9 @@ def config_consumers(keys: DataFrame, nodes: DataFrame, per_key: int = 5) -> Dat
 
 def template_matches(calls: DataFrame, apis: DataFrame) -> DataFrame:
     """The first API (by ordinal) of each other service whose template fits a call: calls(call_id, service, method, path), apis(service,
-    ordinal, method, template). The number of parts is the equi key, so this is a hash join with a residual, not a loop."""
-    c = calls.withColumn("parts", F.size(paths.segments(F.col("path"))))
-    a = apis.select(F.col("service").alias("target"), "ordinal", F.col("method").alias("api_method"), "template").withColumn("parts", F.size(paths.segments(F.col("template"))))
+    ordinal, method, template). Paths and templates meet on `path_keys`, so this is a hash join with a residual, not a loop."""
+    c = calls.withColumn("parts", F.explode(paths.path_keys(F.col("path"), False)))
+    a = apis.select(F.col("service").alias("target"), "ordinal", F.col("method").alias("api_method"), "template").withColumn("parts", F.explode(paths.path_keys(F.col("template"), True)))
     known = F.col("method").isNotNull() & (F.col("method") != "")
     fits = (F.col("service") != F.col("target")) & (~known | (F.col("api_method") == F.col("method")) | (F.col("api_method") == "ANY")) & paths.path_matches(F.col("path"), F.col("template"))
     first = Window.partitionBy("call_id", "target").orderBy("ordinal")
@@ -193,10 +193,12 @@ def unmatched_calls(calls: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def topic_pairs(publishers: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """Publishers and subscribers of different services, of one kind of queue, whose topics match."""
-    p = publishers.select(F.col("service").alias("publisher"), "mq_type", F.col("topic").alias("published"))
-    s = subscribers.select(F.col("service").alias("subscriber"), "mq_type", F.col("topic").alias("subscribed"))
-    return p.join(s, "mq_type").filter((F.col("publisher") != F.col("subscriber")) & paths.topics_match(F.col("published"), F.col("subscribed")))
+    """Publishers and subscribers of different services, of one kind of queue, whose topics match. Substrings have no equi key, so
+    distinct topics are paired first, and the rows behind them joined by equality."""
+    p = publishers.select(F.col("service").alias("publisher"), "mq_type", F.coalesce("topic", F.lit("")).alias("published"))
+    s = subscribers.select(F.col("service").alias("subscriber"), "mq_type", F.coalesce("topic", F.lit("")).alias("subscribed"))
+    fits = p.select("mq_type", "published").distinct().join(s.select("mq_type", "subscribed").distinct(), "mq_type").filter(paths.topics_match(F.col("published"), F.col("subscribed")))
+    return fits.join(p, ["mq_type", "published"]).join(s, ["mq_type", "subscribed"]).filter(F.col("publisher") != F.col("subscriber"))
 
 
 def rpc_targets(calls: DataFrame, services: DataFrame) -> DataFrame:
@@ -238,8 +240,8 @@ def associate(observations: DataFrame, features: DataFrame) -> DataFrame:
     """observations(obs_id, explicit_id, trace_id, method, path) with the feature they belong to: an explicit id, else the one a
     span of the same trace names, else the first feature whose `METHOD template` fits."""
     traced = observations.filter("explicit_id is not null and trace_id is not null").groupBy("trace_id").agg(F.min("explicit_id").alias("traced_id"))
-    f = features.select(F.col("feature_id").alias("path_id"), F.col("method").alias("f_method"), "template").withColumn("parts", F.size(paths.segments(F.col("template"))))
-    o = observations.filter("path is not null and path <> ''").select("obs_id", "method", "path").withColumn("parts", F.size(paths.segments(F.col("path"))))
+    f = features.select(F.col("feature_id").alias("path_id"), F.col("method").alias("f_method"), "template").withColumn("parts", F.explode(paths.path_keys(F.col("template"), True)))
+    o = observations.filter("path is not null and path <> ''").select("obs_id", "method", "path").withColumn("parts", F.explode(paths.path_keys(F.col("path"), False)))
     by_path = o.join(f, "parts").filter((F.col("f_method") == F.upper("method")) & paths.path_matches(F.col("path"), F.col("template"))).groupBy("obs_id").agg(F.min("path_id").alias("path_id"))
     return observations.join(traced, "trace_id", "left").join(by_path, "obs_id", "left").withColumn("feature_id", F.coalesce("explicit_id", "traced_id", "path_id")).drop("traced_id", "path_id")
 

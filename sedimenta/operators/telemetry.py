@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.functions.paths import path_matches, segments
+from sedimenta.functions.paths import path_keys, path_matches
 from sedimenta.operators.relational import greedy_pairs
 
 _VALUE = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double,bytesValue:string,arrayValue:string,kvlistValue:string>"
@@ -100,15 +100,15 @@ def aggregate(calls: DataFrame) -> DataFrame:
 def reconcile(static: DataFrame, runtime: DataFrame) -> DataFrame:
     """(status, source, target, method, path, template, count, avg_latency_ms, confidence): static edges (ordinal, source, target, method, template,
     confidence) against aggregated calls, one to one in order: confirmed, static_only, runtime_only."""
-    s = static.withColumn("parts", F.size(segments(F.col("template"))))
-    r = runtime.withColumn("parts", F.size(segments(F.col("path")))).withColumnRenamed("method", "r_method")
+    s = static.withColumn("parts", F.explode(path_keys(F.col("template"), True)))
+    r = runtime.withColumn("parts", F.explode(path_keys(F.col("path"), False))).withColumnRenamed("method", "r_method")
     fits = ((F.col("method") == "ANY") | (F.upper("method") == F.col("r_method"))) & path_matches(F.col("path"), F.col("template"))
     cand = s.join(r, ["source", "target", "parts"]).filter(fits).withColumn("call", F.concat_ws(" ", "r_method", "path")).drop("traces", "parts")
     got = greedy_pairs(cand, ["source", "target"], "ordinal", "call", ["ordinal", "call"])
     columns = ["status", "source", "target", "method", "path", "template", "count", "avg_latency_ms", "confidence"]
     confirmed = got.withColumn("status", F.lit("confirmed")).withColumn("confidence", F.greatest("confidence", F.lit(0.95))).withColumn("method", F.col("r_method"))
     no = lambda kind: F.lit(None).cast(kind)
-    only_s = s.join(got.select("ordinal"), "ordinal", "left_anti").select(F.lit("static_only").alias("status"), "source", "target", "method", no("string").alias("path"), "template", no("bigint").alias("count"), no("double").alias("avg_latency_ms"), "confidence")
+    only_s = static.join(got.select("ordinal"), "ordinal", "left_anti").select(F.lit("static_only").alias("status"), "source", "target", "method", no("string").alias("path"), "template", no("bigint").alias("count"), no("double").alias("avg_latency_ms"), "confidence")
     rest = runtime.join(got.select("source", "target", F.col("r_method").alias("method"), "path"), ["source", "target", "method", "path"], "left_anti")
     only_r = rest.select(F.lit("runtime_only").alias("status"), "source", "target", "method", "path", no("string").alias("template"), "count", "avg_latency_ms", no("double").alias("confidence"))
     return confirmed.select(*columns).unionByName(only_s.select(*columns)).unionByName(only_r.select(*columns))

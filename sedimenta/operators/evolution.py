@@ -203,3 +203,39 @@ def identify(entries: DataFrame) -> DataFrame:
 
 
 EVENT_SCHEMA = T.StructType([T.StructField("feature_id", T.LongType()), T.StructField("commit_id", T.LongType()), T.StructField("event_type", T.StringType())])
+
+
+def filtered_events(events: DataFrame, feature_id: int | None = None, event_type: str = "") -> DataFrame:
+    """Events of a feature and a kind; either may be left open."""
+    if feature_id is not None:
+        events = events.filter(F.col("feature_id") == feature_id)
+    return events.filter(F.col("event_type") == event_type) if event_type else events
+
+
+def capability_stats(members: DataFrame, snaps: DataFrame, events: DataFrame) -> DataFrame:
+    """(capability, features, nodes, depth, events) of members(capability, feature_id): sizes of the latest snapshots and numbers of events."""
+    state = latest(snaps, "feature_id", "commit_id").select("feature_id", "nodes", "depth")
+    count = events.groupBy("feature_id").agg(F.count("*").alias("events"))
+    j = members.join(state, "feature_id", "left").join(count, "feature_id", "left")
+    return j.groupBy("capability").agg(F.count("*").alias("features"), F.coalesce(F.sum("nodes"), F.lit(0)).cast("bigint").alias("nodes"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"), F.coalesce(F.sum("events"), F.lit(0)).cast("bigint").alias("events"))
+
+
+def feature_detail(features: DataFrame, snaps: DataFrame, events: DataFrame, observations: DataFrame, feature_id: int) -> DataFrame:
+    """One feature with its latest snapshot, its timeline as an array, and its number of observations."""
+    own = features.filter(F.col("feature_id") == feature_id)
+    state = latest(snaps.filter(F.col("feature_id") == feature_id), "feature_id", "commit_id").select("feature_id", F.col("commit_id").alias("as_of"), "nodes", "edges", "depth")
+    line = events.filter(F.col("feature_id") == feature_id).groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("commit_id", "event_type"))).alias("timeline"))
+    seen = observations.filter(F.col("feature_id") == feature_id).groupBy("feature_id").agg(F.count("*").alias("observations"))
+    return own.join(state, "feature_id", "left").join(line, "feature_id", "left").join(seen, "feature_id", "left").withColumn("observations", F.coalesce("observations", F.lit(0)))
+
+
+def explanation_context(chains: DataFrame, features: DataFrame, stable_id: str) -> DataFrame:
+    """The call chain of a feature with the features that its callees name: chains(stable_id, callee)."""
+    own = chains.filter(F.col("stable_id") == stable_id).select("callee").distinct()
+    return features.join(own, features["canonical_name"] == own["callee"], "left_semi")
+
+
+def updated(features: DataFrame, seen: DataFrame) -> DataFrame:
+    """Features with their last sight and status brought up to date by seen(feature_id, commit_id): those seen are active, the rest removed."""
+    s = seen.groupBy("feature_id").agg(F.max("commit_id").alias("last_commit"))
+    return features.join(s, "feature_id", "left").withColumn("status", F.when(F.col("last_commit").isNull(), "removed").otherwise("active"))

@@ -116,3 +116,12 @@ def reconcile(static: DataFrame, runtime: DataFrame) -> DataFrame:
 
 def read_otlp(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OTLP_SCHEMA).json(path, multiLine=True)
+
+
+def listed(obs: DataFrame, feature_id: int | None = None, kind: str = "", limit: int = 100) -> DataFrame:
+    """The newest observations of a feature and a kind; either may be left open."""
+    if feature_id is not None:
+        obs = obs.filter(F.col("feature_id") == feature_id)
+    if kind:
+        obs = obs.filter(F.col("kind") == kind)
+    return obs.orderBy(F.desc("timestamp_ns"), F.desc("obs_id")).limit(max(1, min(limit, 1000)))

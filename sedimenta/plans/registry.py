@@ -743,3 +743,114 @@ def config_usage(spark, d):
     return knowledge.config_usage(spark.createDataFrame([("app.yaml", text), ("b.env", "HOT_RING=1\nlower=2")], "file string, text string"), n)
 
 
+# ---------------------------------------------------------------- more of each family
+
+
+@query("""WITH e AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'calls'), g AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY degree DESC, id) - 1 AS pos, count(*) OVER () AS n FROM g)
+ SELECT CASE WHEN pos < greatest(1, floor(n * 0.1)) THEN 'hot' WHEN pos < greatest(2, floor(n * 0.6)) THEN 'warm' ELSE 'cold' END AS heat, count(*) AS n FROM r GROUP BY 1""", "edges")
+def heat_levels(spark, d):
+    return knowledge.heat_map(carrier(spark, d, "edges")).groupBy("heat").agg(count())
+
+
+@query("""WITH l AS (SELECT feature_id, max_by(nodes, commit_id) AS nodes, max_by(depth, commit_id) AS depth FROM snapshots GROUP BY 1), e AS (SELECT feature_id, count(*) AS events FROM evolution GROUP BY 1)
+ SELECT f.class AS capability, count(*) AS features, CAST(coalesce(sum(l.nodes), 0) AS BIGINT) AS nodes, coalesce(max(l.depth), 0) AS depth, CAST(coalesce(sum(e.events), 0) AS BIGINT) AS events FROM features f LEFT JOIN l USING (feature_id) LEFT JOIN e USING (feature_id) GROUP BY 1""", "features", "snapshots", "evolution")
+def capability_stats(spark, d):
+    m = carrier(spark, d, "features").select(F.col("class").alias("capability"), "feature_id")
+    return evolution.capability_stats(m, carrier(spark, d, "snapshots"), carrier(spark, d, "evolution"))
+
+
+@query("SELECT obs_id, kind, latency_ms FROM observations WHERE kind = 'span' AND explicit_id IS NULL ORDER BY ts DESC, obs_id DESC LIMIT 100", "observations")
+def observations_listed(spark, d):
+    o = carrier(spark, d, "observations").filter("explicit_id is null").withColumn("timestamp_ns", F.col("ts"))
+    return telemetry.listed(o, kind="span").select("obs_id", "kind", "latency_ms")
+
+
+@query("SELECT event_id, commit_id FROM evolution WHERE feature_id = 3 AND event_type = 'GROWN'", "evolution")
+def events_filtered(spark, d):
+    return evolution.filtered_events(carrier(spark, d, "evolution"), 3, "GROWN").select("event_id", "commit_id")
+
+
+@query("""SELECT f.feature_id, f.canonical_name, l.commit_id AS as_of, l.nodes, (SELECT array_to_string(list(commit_id || ':' || event_type ORDER BY commit_id, event_type), ',') FROM evolution WHERE feature_id = 3) AS timeline, (SELECT count(*) FROM observations WHERE explicit_id = 3) AS observations
+ FROM features f LEFT JOIN (SELECT * FROM snapshots WHERE feature_id = 3 ORDER BY commit_id DESC LIMIT 1) l ON f.feature_id = l.feature_id WHERE f.feature_id = 3""", "features", "snapshots", "evolution", "observations")
+def feature_detail(spark, d):
+    obs = carrier(spark, d, "observations").withColumnRenamed("explicit_id", "feature_id")
+    f = evolution.feature_detail(carrier(spark, d, "features"), carrier(spark, d, "snapshots"), carrier(spark, d, "evolution"), obs, 3)
+    text = F.array_join(F.transform("timeline", lambda x: F.concat_ws(":", x["commit_id"].cast("string"), x["event_type"])), ",")
+    return f.select("feature_id", "canonical_name", "as_of", "nodes", text.alias("timeline"), "observations")
+
+
+@query("SELECT feature_id, CASE WHEN max(commit_id) IS NULL THEN 'removed' ELSE 'active' END AS status, max(commit_id) AS last_commit FROM (SELECT f.feature_id, e.commit_id FROM features f LEFT JOIN evolution e USING (feature_id)) GROUP BY 1", "features", "evolution")
+def features_updated(spark, d):
+    return evolution.updated(carrier(spark, d, "features"), carrier(spark, d, "evolution")).select("feature_id", "status", "last_commit")
+
+
+@query("""SELECT conv_id, CASE WHEN count(*) > 1 THEN 'sequenceDiagram' || chr(10) || array_to_string(list('    ' || role || '->>' || nxt || ': call' ORDER BY turn) FILTER (nxt IS NOT NULL), chr(10)) ELSE 'sequenceDiagram' END AS diagram FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM turns) GROUP BY 1""", "turns")
+def chain_mermaid(spark, d):
+    t = carrier(spark, d, "turns").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("chain"))
+    return t.select("conv_id", graph.chain_mermaid(F.col("chain")).alias("diagram"))
+
+
+@query("""SELECT id, upper(substring(w, 1, 1)) || substring(w, 2, 100) || ' (' || replace(regexp_extract(file_path, '([^/.]*)[.][a-z]+$', 1), '_', ' ') || ')' AS description FROM (SELECT id, file_path, lower(trim(replace(name, '_', ' '))) AS w FROM nodes WHERE kind IN ('function', 'method'))""", "nodes")
+def descriptions(spark, d):
+    n = relational.functions(carrier(spark, d, "nodes"))
+    return n.select("id", names.description(F.col("name"), F.col("file_path")).alias("description"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal < 1 THEN 'just now' WHEN s_acctbal < 48 THEN CAST(floor(s_acctbal) AS BIGINT) || 'h ago' ELSE CAST(floor(s_acctbal / 24) AS BIGINT) || 'd ago' END AS age FROM supplier""")
+def readable_age(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", topology.age(F.col("s_acctbal")).alias("age"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url WHEN 2 THEN '/api/v' || page_id ELSE NULL END AS found FROM (SELECT page_id, regexp_replace(url, '/+$', '') AS url FROM urls) WHERE NOT contains(url, ',')""", "urls")
+def source_urls(spark, d):
+    u, k = F.regexp_replace("url", "/+$", ""), F.col("page_id")
+    line = F.when(k % 4 == 0, F.concat(F.lit("requests.get('"), u, F.lit("')"))).when(k % 4 == 1, F.concat(F.lit("fetch(`"), u, F.lit("`)"))).when(k % 4 == 2, F.concat(F.lit('call("/api/v'), k.cast("string"), F.lit('")'))).otherwise("nothing")
+    return carrier(spark, d, "urls").filter(~u.contains(",")).select("page_id", paths.source_url(line, line).alias("found"))
+
+
+@query("""SELECT feature_id, CASE feature_id % 4 WHEN 0 THEN replace(canonical_name, ' ', '.') WHEN 1 THEN split_part(canonical_name, ' ', 2) WHEN 2 THEN replace(canonical_name, ' ', '-') END AS topic FROM features""", "features")
+def source_topics(spark, d):
+    k, n = F.col("feature_id"), F.col("canonical_name")
+    line = F.when(k % 4 == 0, F.concat(F.lit('producer.send("'), F.translate(n, " ", "."), F.lit('")'))).when(k % 4 == 1, F.concat(F.lit("topics = ['"), F.split(n, " ")[1], F.lit("']"))).when(k % 4 == 2, F.concat(F.lit("QUEUE = '"), F.translate(n, " ", "-"), F.lit("'"))).otherwise("nothing")
+    return carrier(spark, d, "features").select("feature_id", paths.source_topic(line).alias("topic"))
+
+
+@query("""SELECT id, array_to_string(list_sort(list_distinct(CASE WHEN contains(name, 'requests') THEN [] WHEN contains(name, 'elasticsearch') THEN ['elasticsearch'] ELSE [] END)), ',') AS db, CASE WHEN contains(name, 'kafka') THEN 'kafka' ELSE '' END AS mq, CASE WHEN contains(name, 'memcache') THEN 'memcached' ELSE '' END AS cache FROM nodes WHERE kind = 'import'""", "nodes")
+def store_types(spark, d):
+    n = carrier(spark, d, "nodes").filter("kind = 'import'")
+    return n.select("id", *[F.array_join(rules.stores_of(k, F.array("name")), ",").alias(k) for k in ("db", "mq", "cache")])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'frontend' WHEN c_custkey % 3 = 1 THEN 'worker' ELSE 'backend' END AS role FROM customer""")
+def service_roles(spark, d):
+    k = F.col("c_custkey")
+    name = F.concat(F.when(k % 3 == 0, "mall-web-").when(k % 3 == 1, "mail-consumer-").otherwise("orders-"), k.cast("string"))
+    return table(spark, d, "customer").select("c_custkey", rules.role_of(name).alias("role"))
+
+
+@query("""WITH n AS (SELECT DISTINCT name FROM nodes WHERE kind IN ('class', 'interface')) SELECT a.name AS a, b.name AS b, CASE WHEN contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)) THEN 'subset' ELSE 'related' END AS relation FROM n a JOIN n b ON a.name < b.name""", "nodes")
+def name_relations(spark, d):
+    n = carrier(spark, d, "nodes").filter("kind in ('class', 'interface')").select("name").distinct()
+    p = n.select(F.col("name").alias("a")).join(n.select(F.col("name").alias("b")), F.col("a") < F.col("b"))
+    return p.select("a", "b", names.relationship(F.col("a"), F.col("b"), F.lit(0.5)).alias("relation"))
+
+
+@query("""SELECT o_orderkey, list_extract(string_split(p, ' '), 1) AS first_parent, 'v' || o_custkey AS tag FROM (SELECT o_orderkey, o_custkey, o_custkey || ' ' || o_orderkey AS p FROM orders)""")
+def parents_and_tags(spark, d):
+    o = table(spark, d, "orders")
+    c = F.col("o_custkey").cast("string")
+    return o.select("o_orderkey", names.parent_of(F.concat_ws(" ", c, F.col("o_orderkey").cast("string"))).alias("first_parent"), F.element_at(names.tags_of(F.concat(F.lit("HEAD -> main, tag: v"), c)), 1).alias("tag"))
+
+
+@query("SELECT m.module AS source_module, g.module AS target_module, count(*) AS edges FROM (SELECT f AS a, g AS b FROM " + _PAIRS + ") p JOIN (SELECT DISTINCT file_path, regexp_replace(file_path, '/[^/]*$', '') AS module FROM nodes) m ON p.a = m.file_path JOIN (SELECT DISTINCT file_path, regexp_replace(file_path, '/[^/]*$', '') AS module FROM nodes) g ON p.b = g.file_path WHERE m.module <> g.module GROUP BY 1, 2", *NODES_EDGES)
+def module_dependencies(spark, d):
+    n = carrier(spark, d, "nodes")
+    by_dir = n.select(F.col("file_path").alias("file")).distinct().withColumn("module", F.regexp_replace("file", "/[^/]*$", ""))
+    return graph.module_dependencies(by_dir, relational.endpoint_pairs(n, carrier(spark, d, "edges"), ("imports", "calls")))
+
+
+@query("SELECT coalesce(i.name, o.name) AS name, coalesce(o.n, 0) AS calls, coalesce(i.n, 0) AS called_by FROM (SELECT target AS name, count(*) AS n FROM flows GROUP BY 1) i FULL JOIN (SELECT source AS name, count(*) AS n FROM flows GROUP BY 1) o ON i.name = o.name", "flows")
+def unified_topology(spark, d):
+    f = carrier(spark, d, "flows")
+    s = f.select(F.col("source").alias("name")).unionByName(f.select(F.col("target").alias("name"))).distinct()
+    return topology.unified(s, f)

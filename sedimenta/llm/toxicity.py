@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from sedimenta.llm.common import quoted
 from sedimenta.llm.labelled import labelled_sample
-from sedimenta.llm.textkit import spans, string_buffers, words
+from sedimenta.llm.textkit import mix, spans, string_buffers, words
 
 MAX_EXAMPLES = 2000  # of each class, for the index; as many again of each for the calibration
 NEIGHBOURS = 10
@@ -34,13 +34,16 @@ class BlockMaxIndex:
 
     weights: np.ndarray
     bounds: np.ndarray
+    terms: list[np.ndarray]  # the words that occur in each block
+    postings: list[np.ndarray]  # their weights: words x examples of the block
     block: int = BLOCK
 
     @classmethod
     def build(cls, weights: np.ndarray, block: int = BLOCK) -> BlockMaxIndex:
         starts = np.arange(0, len(weights), block)
         bounds = np.maximum.reduceat(weights, starts, axis=0) if len(weights) else np.zeros((0, weights.shape[1]))
-        return cls(weights, bounds, block)
+        terms = [np.flatnonzero(b) for b in bounds]
+        return cls(weights, bounds, terms, [np.ascontiguousarray(weights[lo : lo + block][:, t].T) for lo, t in zip(starts, terms)], block)
 
     def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions (rows x k, -1 where there is none) and cosines of the k nearest examples that share a word with
@@ -59,13 +62,18 @@ class BlockMaxIndex:
             if not len(alive):
                 break
             blocks = order[alive, r]
-            for b in np.unique(blocks):
-                rows = alive[blocks == b]
-                lo = int(b) * self.block
-                part = self.weights[lo : lo + self.block]
-                terms = np.flatnonzero(self.bounds[b])  # the words that have postings here
-                got = np.round(q[np.ix_(rows, terms)] @ part[:, terms].T, 12)
-                ids = np.where(got > 0, np.arange(lo, lo + len(part)), -1)
+            by_block = np.argsort(blocks, kind="stable")
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks[by_block])) + 1, [len(alive)]])
+            for at, end in zip(edges[:-1], edges[1:]):
+                rows = alive[by_block[at:end]]
+                b = int(blocks[by_block[at]])
+                lo = b * self.block
+                got = np.round(q[rows][:, self.terms[b]] @ self.postings[b], 12)
+                better = np.flatnonzero(got.max(axis=1) >= np.maximum(score[rows, -1], 1e-12))
+                if not len(better):
+                    continue
+                rows, got = rows[better], got[better]
+                ids = np.where(got > 0, np.arange(lo, lo + got.shape[1]), -1)
                 all_s = np.concatenate([score[rows], got], axis=1)
                 all_i = np.concatenate([best[rows], ids], axis=1)
                 rank = np.lexsort((np.where(all_i < 0, 1 << 60, all_i), -all_s), axis=1)[:, :k]
@@ -94,6 +102,7 @@ class ToxicityModel:
         return w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
 
     def vote(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weighted share of toxic neighbours (NaN without any), their positions and cosines."""
         best, score = self.index.search(self.vectors(counts), self.neighbours)
         weight = np.where(best >= 0, 1 / (1 - np.minimum(score, 1) + 0.05), 0.0)
         total = weight.sum(axis=1)
@@ -110,15 +119,30 @@ class ToxicityModel:
         data, offs = string_buffers(texts)
         n = len(offs) - 1
         p, best, cosine = np.full(n, self.base), np.full((n, self.neighbours), -1, np.int64), np.zeros((n, self.neighbours))
+        rows, held = [], []
         for lo, hi in spans(offs):
             counts = self.counts(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             some = np.flatnonzero(counts.any(axis=1))
-            if len(some):
-                vote, at, score = self.vote(counts[some])
-                p[lo + some], best[lo + some], cosine[lo + some] = self.calibrated(vote), at, score
+            rows.append(lo + some)
+            held.append(counts[some].astype(np.int32))
+            if hi == n or sum(map(len, held)) * len(self.vocabulary) > 1 << 23:
+                at, counts = np.concatenate(rows), np.concatenate(held)
+                rows, held = [], []
+                if len(at):  # texts with the same counts share one search
+                    _, first, back = np.unique(row_keys(counts), return_index=True, return_inverse=True)
+                    vote, found, score = self.vote(counts[first])
+                    p[at], best[at], cosine[at] = self.calibrated(vote)[back], found[back], score[back]
         return p, best, cosine
 
 
+def row_keys(counts: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for equal rows only; a hash, or the row's own number if that fails."""
+    weights = mix(np.arange(1, counts.shape[1] + 1, dtype=np.uint64))
+    key = counts.astype(np.uint64) @ weights
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    return key if (counts == counts[first][back]).all() else np.arange(len(counts))
+
+
 def term_counts(data: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """Rows x words: how often each word of the vocabulary occurs in each row."""
     n, v = len(offs) - 1, len(vocabulary)

@@ -167,15 +167,47 @@ def _word_sets(batches):
         yield pa.RecordBatch.from_pydict({"id": batch.column(0), "y": batch.column(1), "h": pa.array([x.tobytes() for x, _ in out], pa.binary()), "n": pa.array([c.astype(np.int64).tobytes() for _, c in out], pa.binary())})
 
 
+def independent(sets: list[np.ndarray], alike: float = 0.5) -> np.ndarray:
+    """Marks one of each group of texts whose word sets are alike (Jaccard, found by banded minwise hashes and then computed): many
+    copies of one labelled text are one piece of evidence, not many, for what a word says."""
+    bands, width = 16, 4
+    keep = np.ones(len(sets), bool)
+    some = [k for k, s in enumerate(sets) if len(s)]
+    if not some:
+        return keep
+    flat = np.concatenate([sets[k] for k in some])
+    starts = np.cumsum([0] + [len(sets[k]) for k in some])[:-1]
+    buckets: dict[tuple[int, int], list[int]] = {}
+    for b in range(bands):
+        key = np.zeros(len(some), np.uint64)
+        for c in range(width):
+            key = mix(key + np.minimum.reduceat(mix(flat + np.uint64(0x9E3779B97F4A7C15) * np.uint64(b * width + c + 1)), starts))
+        for k, x in zip(some, key.tolist()):
+            buckets.setdefault((b, x), []).append(k)
+    for group in buckets.values():
+        while len(group) > 1:  # the first stands for those like it; the others go on among themselves
+            first, rest = group[0], []
+            for k in group[1:] if keep[first] else []:
+                if keep[k]:
+                    shared = len(np.intersect1d(sets[first], sets[k], assume_unique=True))
+                    if shared >= alike * (len(sets[first]) + len(sets[k]) - shared):
+                        keep[k] = False
+                    else:
+                        rest.append(k)
+            group = rest if keep[first] else group[1:]
+    return keep
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS) -> ToxicityModel:
-    """The model from at most 2 x `max_examples` labelled documents of each class: by the hash of their ids every other
-    one is an example, the others calibrate. Document frequencies count all of `docs`."""
+    """The model from at most 2 x `max_examples` labelled documents of each class, near copies of one another counted once: by the
+    hash of their ids every other one is an example, the others calibrate. Document frequencies count all of `docs`."""
     sample = labelled_sample(docs, labels, "toxic", 2 * max_examples, text_col, id_col)
     rows = sample.select("id", "y", "text").mapInArrow(_word_sets, "id bigint, y int, h binary, n binary").toPandas().sort_values("id", ignore_index=True)
     sets = [np.frombuffer(x, np.uint64) for x in rows["h"]]
     y = rows["y"].to_numpy(np.int64)
     turn = (rows["id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(int) if len(rows) else np.zeros(0, int)
-    example = turn == 0
+    alone = independent(sets)
+    example, held_out = (turn == 0) & alone, (turn == 1) & alone
     held = [(np.concatenate([s for s, e, c in zip(sets, example, y) if e and c == label] or [np.zeros(0, np.uint64)])) for label in (0, 1)]
     n0, n1 = int((example & (y == 0)).sum()), int((example & (y == 1)).sum())
     vocabulary, inverse = np.unique(np.concatenate(held), return_inverse=True)
@@ -197,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     vectors = model.vectors(counts[use])
     order = np.lexsort((rows["id"].to_numpy()[use], y[use], vectors.argmax(axis=1) if len(use) and len(vocabulary) else use))  # alike examples share blocks
     model.index, model.ids, model.toxic = BlockMaxIndex.build(vectors[order]), rows["id"].to_numpy(np.int64)[use][order], y[use][order].astype(float)
-    _calibrate(model, counts[~example], y[~example])
+    _calibrate(model, counts[held_out], y[held_out])
     return model
 
 

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import cut, drop_ids, fresh, quoted, row_order, shuffle_partitions
 from sedimenta.llm.textkit import mix, spans, string_buffers, words
 
-COORDS = 128
+COORDS = 256
 SHINGLE = 3
 TREES = 7
-THRESHOLD = 0.6
+THRESHOLD = 0.55
 SMALL = 1000
 DEPTH = 8
 
@@ -79,11 +79,16 @@ def child_key(key: np.ndarray, coord: np.ndarray, token: np.ndarray) -> np.ndarr
     return mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + (coord.astype(np.uint64) << np.uint64(32)) + token.astype(np.uint64))
 
 
+def agreements(threshold: float, coords: int = COORDS) -> float:
+    """How many coordinates agree at this similarity: tokens are kept as bytes, so one in 256 others agrees by chance."""
+    return coords * (threshold + (1 - threshold) / 256)
+
+
 def link(sig: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links that join all pairs of a node with estimated similarity at least `threshold`, directly or through
     others. Every pair is compared unless earlier links join it already."""
     m = len(sig)
-    need = threshold * sig.shape[1]
+    need = agreements(threshold, sig.shape[1])
     comp = np.arange(m)
     links = []
     for i in range(m - 1):
@@ -121,7 +126,7 @@ def _sketch_batches(trees: int, threshold: float):
                         for c in coord:
                             keys.append(child_key(np.array([root]), np.array([c]), mins[:, c]))
                 keys = np.stack(keys, axis=1)
-                flat = (mins & np.uint32(0xFFFF)).astype(np.uint16)
+                flat = (mins & np.uint32(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict({
                     "id": ids.slice(lo, hi - lo).take(pa.array(some)),
                     "sh": pa.array(whole.view(np.int64)),
@@ -136,7 +141,7 @@ def _branch_batches(threshold: float):
     def run(batches):
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, COORDS)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
             for rows, coord in chosen(key, threshold):
                 if len(rows):
                     at = pa.array(rows)
@@ -155,7 +160,7 @@ def _compare_batches(threshold: float):
             if not len(key):
                 continue
             ids = batch.column(1).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, COORDS)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
             if held and held[0][0][0] != key[0]:
                 yield tuple(np.concatenate(x) for x in zip(*held))
                 held = []
@@ -176,7 +181,7 @@ def _compare_batches(threshold: float):
             two = edges[:-1][size == 2]
             for lo in range(0, len(two), 4096):
                 at = two[lo : lo + 4096]
-                near = at[(sig[at] == sig[at + 1]).sum(axis=1) >= threshold * COORDS]
+                near = at[(sig[at] == sig[at + 1]).sum(axis=1) >= agreements(threshold)]
                 a.append(ids[near])
                 b.append(ids[near + 1])
             for lo, n in zip(edges[:-1][size > 2], size[size > 2]):
@@ -252,7 +257,7 @@ def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     """One document of each group of near duplicates, all columns unchanged.
 
     Two documents are near duplicates where the Jaccard similarity of their sets of word 3-grams, estimated on
-    `COORDS` minwise tokens (standard error 0.04), reaches `threshold`; ASCII case and punctuation don't count, repeated
+    `COORDS` minwise tokens (standard error 0.03), reaches `threshold`; ASCII case and punctuation don't count, repeated
     3-grams count once. Groups are connected components and the smallest id of each stays. A text of one or two words is one
     shingle; a null or empty text, or one without words, is like no other and stays, as does a row without an id. Rows that repeat an id: if the id stays,
     its first row by text and the other columns stays. An empty table gives an empty table; helper columns take free names.

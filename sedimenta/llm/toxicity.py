@@ -164,26 +164,29 @@ def _word_sets(batches):
         data, offs = string_buffers(batch.column(2))
         _, _, h, first = words(data, offs)
         out = [np.unique(h[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_pydict({"id": batch.column(0), "y": batch.column(1), "h": pa.array([x.tobytes() for x, _ in out], pa.binary()), "n": pa.array([c.astype(np.int64).tobytes() for _, c in out], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"id": batch.column(0), "y": batch.column(1), "h": pa.array([x.tobytes() for x, _ in out], pa.binary()), "n": pa.array([c.astype(np.int32).tobytes() for _, c in out], pa.binary())})
 
 
 def independent(sets: list[np.ndarray], alike: float = 0.5) -> np.ndarray:
     """Marks one of each group of texts whose word sets are alike (Jaccard, found by banded minwise hashes and then computed): many
     copies of one labelled text are one piece of evidence, not many, for what a word says."""
     bands, width = 16, 4
+    salts = mix(np.arange(1, bands * width + 1, dtype=np.uint64))
     keep = np.ones(len(sets), bool)
     some = [k for k, s in enumerate(sets) if len(s)]
     if not some:
         return keep
-    flat = np.concatenate([sets[k] for k in some])
-    starts = np.cumsum([0] + [len(sets[k]) for k in some])[:-1]
     buckets: dict[tuple[int, int], list[int]] = {}
-    for b in range(bands):
-        key = np.zeros(len(some), np.uint64)
-        for c in range(width):
-            key = mix(key + np.minimum.reduceat(mix(flat + np.uint64(0x9E3779B97F4A7C15) * np.uint64(b * width + c + 1)), starts))
-        for k, x in zip(some, key.tolist()):
-            buckets.setdefault((b, x), []).append(k)
+    for lo in range(0, len(some), 256):  # a part at a time: the driver holds little more than the sample itself
+        part = some[lo : lo + 256]
+        flat = np.concatenate([sets[k] for k in part])
+        starts = np.cumsum([0] + [len(sets[k]) for k in part])[:-1]
+        for b in range(bands):
+            key = np.zeros(len(part), np.uint64)
+            for c in range(width):
+                key = mix(key + np.minimum.reduceat(mix(flat + salts[b * width + c]), starts))
+            for k, x in zip(part, key.tolist()):
+                buckets.setdefault((b, x), []).append(k)
     for group in buckets.values():
         while len(group) > 1:  # the first stands for those like it; the others go on among themselves
             first, rest = group[0], []
@@ -224,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     for k, (s, c) in enumerate(zip(sets, rows["n"])):
         at = np.searchsorted(s, vocabulary)
         hit = np.flatnonzero((at < len(s)) & (s[np.minimum(at, max(0, len(s) - 1))] == vocabulary)) if len(s) else []
-        counts[k, hit] = np.frombuffer(c, np.int64)[at[hit]] if len(s) else 0
+        counts[k, hit] = np.frombuffer(c, np.int32)[at[hit]] if len(s) else 0
     use = np.flatnonzero(example & counts.any(axis=1))
     vectors = model.vectors(counts[use])
     order = np.lexsort((rows["id"].to_numpy()[use], y[use], vectors.argmax(axis=1) if len(use) and len(vocabulary) else use))  # alike examples share blocks

@@ -83,8 +83,8 @@ class Scanner:
         generic = {"licensed", "released", "distributed", "this", "work", "project", "is", "under", "the", "a", "license", "licence", "of", "by", "at", "or", "and", "in", "you", "may", "file", "http", "https", "www"}
         self.telling = {w for ws in self.words for w in ws} - generic - everywhere
 
-    def scan(self, block: str) -> tuple[str, bool, float, float, list[str], list[str]] | None:
-        """(licence, confirmed, size reduction, share of the template's words found, words missing, words extra)."""
+    def scan(self, block: str) -> tuple[str, bool, float, float, list[str], list[str], int] | None:
+        """(licence, confirmed, size reduction, share of the template's words found, words missing, words extra, words matched)."""
         raw = " ".join(block.lower().split()).encode()
         mine = wording(block)
         if not raw or not self.templates:
@@ -104,7 +104,39 @@ class Scanner:
                 best = (key, t, missing, extra, confirmed)
         _, t, missing, extra, confirmed = best
         found = 1 - len(missing) / max(1, len(self.words[t]))
-        return self.templates[t][0], confirmed, round(float(1 - size[t] / alone), 6), round(found, 6), missing, extra
+        return self.templates[t][0], confirmed, round(float(1 - size[t] / alone), 6), round(found, 6), missing, extra, len(self.words[t]) - len(missing)
+
+    def scan_all(self, text: str) -> list[tuple]:
+        """(start, block, *scan) of a text's blocks. A block of several lines that is more than one notice is taken apart: lines that are
+        confirmed by themselves stand alone, the runs of lines between them are scanned together if they have a hint."""
+        out = []
+        for start, block in blocks(text):
+            got = self.scan(block)
+            if got is None:
+                continue
+            words = len(wording(block))
+            if "\n" not in block or (got[1] and words - got[6] <= TOLERANCE * words):
+                out.append((start, block, *got[:6]))
+                continue
+            parts, run, at, run_at = [], [], start, start
+            for line in block.split("\n"):
+                alone = self.scan(line) if _HINT.search(line) else None
+                if alone and alone[1]:
+                    parts += [(run_at, "\n".join(run), None), (at, line, alone)]
+                    run = []
+                else:
+                    run_at = at if not run else run_at
+                    run.append(line)
+                at += len(line) + 1
+            parts.append((run_at, "\n".join(run), None))
+            if len(parts) == 1:
+                out.append((start, block, *got[:6]))
+                continue
+            for where, part, known in parts:
+                result = known or (self.scan(part) if _HINT.search(part) else None)
+                if result:
+                    out.append((where, part, *result[:6]))
+        return out
 
     @staticmethod
     def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
@@ -122,7 +154,7 @@ class Scanner:
 def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, block_no, start, block, license, confirmed, reduction, found, missing, extra): one row a candidate block.
 
-    `license` is the template that fits best, `confirmed` whether its wording is there: at most a tenth of its words
+    Neighbouring notices of different licences get a row each. `license` is the template that fits best, `confirmed` whether its wording is there: at most a tenth of its words
     missing, and in a short notice no word that tells licences apart missing or put in. Ties go to the fewest differing words, then the smaller size, then the
     order of the templates. `start` counts characters. A text without a hint, a null or empty one too, has no row. Each row is scanned on its own, so repeated
     rows and null ids repeat theirs; texts are scanned whole. An empty table gives an empty table; further columns aren't read.
@@ -138,7 +170,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         for batch in batches:
             rows = []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                rows += [(k, no, start, block, *got) for no, (start, block) in enumerate(blocks(text)) if (got := scanner.scan(block))]
+                rows += [(k, no, *found) for no, found in enumerate(scanner.scan_all(text))]
             if rows:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(

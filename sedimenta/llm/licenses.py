@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import quoted
-from sedimenta.llm.templates import TEMPLATES
+from sedimenta.llm.templates import RESERVED, TEMPLATES
 
-HINTS = ("licens", "licenc", "copyright", "spdx", "warrant", "redistribut", "permission is hereby", "permission to use", "public domain", "free software")
+HINTS = ("licens", "licenc", "copyright", "spdx", "warrant", "redistribut", "permission is hereby", "permission to use", "public domain", "free software", "released under", "distributed under", "rights reserved")
 LEVEL = 3
 CONTENDERS = 4  # templates that are aligned; any that ties with the last of them as well
 TOLERANCE = 0.1
 SHORT = 40  # words of a notice that must have every telling word
 WINDOW = 600  # characters around a hint in a line too long to be a notice
-_HINT = re.compile("|".join(map(re.escape, HINTS)), re.IGNORECASE)
 _WORDS = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+")
+_RESERVED = re.compile(r"\W+".join(RESERVED[1].rstrip(".").split()), re.IGNORECASE)
 
 
 def wording(text: str) -> list[str]:
@@ -34,19 +36,34 @@ def wording(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
+def hint_pattern(hints: tuple[str, ...]) -> re.Pattern:
+    """Any of the hints; between the words of one there may be a line's end and what marks a comment."""
+    return re.compile("|".join(r"\W+".join(map(re.escape, h.split())) for h in hints), re.IGNORECASE)
+
+
+_HINT = hint_pattern(HINTS)
+
+
+def hints_for(templates: list[tuple[str, str]]) -> tuple[str, ...]:
+    """`HINTS`, and the first three words of each template that has none of them: every template has a hint."""
+    more = {" ".join(wording(t)[:3]): None for _, t in templates if not _HINT.search(t) and wording(t)}
+    return (*HINTS, *more)
+
+
+def blocks(text: str, pattern: re.Pattern = _HINT) -> list[tuple[int, str]]:
     """(start, block): runs of lines with hints, a line between two of them included. In a line of more than 4 `WINDOW`
     characters the block is the stretch of `WINDOW` characters on both sides of the hint; stretches that touch are one."""
     found: list[list[int]] = []
     last_line, no = -9, 0
     at = 0
-    hits = [m.start() for m in _HINT.finditer(text)]
+    matches = list(pattern.finditer(text))
+    hits = [m.start() for m in matches]
     if not hits:
         return []
     k = 0
     while k < len(hits):
         begin = text.rfind("\n", 0, hits[k]) + 1
-        end = text.find("\n", hits[k])
+        end = text.find("\n", matches[k].end())
         end = len(text) if end < 0 else end
         no += text.count("\n", at, begin)
         at = begin
@@ -64,7 +81,7 @@ def blocks(text: str) -> list[tuple[int, str]]:
             found[-1][1] = end
         else:
             found.append([begin, end, -1])
-        last_line = no
+        last_line = no + text.count("\n", begin, end)
         while k < len(hits) and hits[k] < end:
             k += 1
     return [(lo, text[lo:hi]) for lo, hi, _ in found]
@@ -74,9 +91,10 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]] | None = None) -> None:
         self.templates = TEMPLATES if templates is None else templates
         self.words = [wording(t) for _, t in self.templates]
+        self.hint = hint_pattern(hints_for(self.templates))
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
-        self.primed = [
-            zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in self.templates
+        *self.primed, self.reserved = [
+            zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in [*self.templates, RESERVED]
         ]
         #: words in which some template differs from another: names, numbers, clauses
         everywhere = set.intersection(*[set(w) for w in self.words]) if self.words else set()
@@ -103,6 +121,9 @@ class Scanner:
             if best is None or key < best[0]:
                 best = (key, t, missing, extra, confirmed)
         _, t, missing, extra, confirmed = best
+        if not confirmed and _RESERVED.search(block):
+            with_it = len(self.reserved.compress(raw))
+            return RESERVED[0], False, round(float(1 - with_it / alone), 6), 1.0, [], [], len(wording(RESERVED[1]))
         found = 1 - len(missing) / max(1, len(self.words[t]))
         return self.templates[t][0], confirmed, round(float(1 - size[t] / alone), 6), round(found, 6), missing, extra, len(self.words[t]) - len(missing)
 
@@ -110,7 +131,7 @@ class Scanner:
         """(start, block, *scan) of a text's blocks. A block of several lines that is more than one notice is taken apart: lines that are
         confirmed by themselves stand alone, the runs of lines between them are scanned together if they have a hint."""
         out = []
-        for start, block in blocks(text):
+        for start, block in blocks(text, self.hint):
             got = self.scan(block)
             if got is None:
                 continue
@@ -120,7 +141,7 @@ class Scanner:
                 continue
             parts, run, at, run_at = [], [], start, start
             for line in block.split("\n"):
-                alone = self.scan(line) if _HINT.search(line) else None
+                alone = self.scan(line) if self.hint.search(line) else None
                 if alone and alone[1]:
                     parts += [(run_at, "\n".join(run), None), (at, line, alone)]
                     run = []
@@ -133,7 +154,7 @@ class Scanner:
                 out.append((start, block, *got[:6]))
                 continue
             for where, part, known in parts:
-                result = known or (self.scan(part) if _HINT.search(part) else None)
+                result = known or (self.scan(part) if self.hint.search(part) else None)
                 if result:
                     out.append((where, part, *result[:6]))
         return out
@@ -156,14 +177,15 @@ def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     Neighbouring notices of different licences get a row each. `license` is the template that fits best, `confirmed` whether its wording is there: at most a tenth of its words
     missing, and in a short notice no word that tells licences apart missing or put in. Ties go to the fewest differing words, then the smaller size, then the
-    order of the templates. `start` counts characters. A text without a hint, a null or empty one too, has no row. Each row is scanned on its own, so repeated
+    order of the templates. Where no template is confirmed but all rights are reserved, `license` says so; that grants nothing, so it isn't confirmed. `start` counts characters. A text without a hint, a null or empty one too, has no row. Each row is scanned on its own, so repeated
     rows and null ids repeat theirs; texts are scanned whole. An empty table gives an empty table; further columns aren't read.
     """
     docs = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     low = F.lower("text")
     hinted = None
-    for hint in HINTS:
-        hinted = low.contains(hint) if hinted is None else hinted | low.contains(hint)
+    for hint in hints_for(TEMPLATES if templates is None else templates):
+        every = reduce(and_, [low.contains(word) for word in hint.split()])  # the words may be lines apart: the pattern decides
+        hinted = every if hinted is None else hinted | every
 
     def run(batches):
         scanner = Scanner(templates)

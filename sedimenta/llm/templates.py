@@ -103,3 +103,6 @@ for _code, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"),
     WORDINGS[f"CC-{_code}-4.0"].append([f"This work is licensed under a Creative Commons {_long} 4.0 International License."])
 
 TEMPLATES: list[tuple[str, str]] = [(name, " ".join(phrases)) for name, wordings in WORDINGS.items() for phrases in wordings]
+
+#: No licence, but the statement that there is none.
+RESERVED = ("All-Rights-Reserved", "All rights reserved.")

@@ -264,6 +264,20 @@ def test_license_full_texts_confirm_each_other_only():
         assert got[0] == name and got[1], (name, text, got)
 
 
+def test_every_template_alone_is_found(spark):
+    own = [("Own-1.0", "You can do what you want.")]
+    for wordings, given in ((templates.TEMPLATES, None), (own, own)):
+        docs = spark.createDataFrame([(k, f"Some prose.\n\n{t}\n\nMore prose.") for k, (_, t) in enumerate(wordings)], "doc_id bigint, text string")
+        got = {(r.doc_id, r.license) for r in licenses.license_scan(docs, templates=given).collect() if r.confirmed}
+        assert got == {(k, name) for k, (name, _) in enumerate(wordings)}
+
+
+def test_all_rights_reserved_has_a_row(spark):
+    docs = spark.createDataFrame([(1, "prose\nAll rights reserved.\nprose"), (2, "prose\nAll rights\n# reserved."), (3, "the seats are reserved")], "doc_id bigint, text string")
+    got = [(r.doc_id, r.license, r.confirmed, r.found) for r in licenses.license_scan(docs).collect()]
+    assert sorted(got) == [(1, "All-Rights-Reserved", False, 1.0), (2, "All-Rights-Reserved", False, 1.0)]
+
+
 # ------------------------------------------------------------------ 5
 
 

@@ -1,13 +1,14 @@
 """License scans by conditional compression.
 
-Lines that speak of licensing form candidate blocks. A block is compressed alone and with each template as a raw zstandard
-dictionary; the templates are ranked by how much smaller they make it. The best ones are then aligned with the block word by word,
-and one is confirmed if hardly a word differs, and none that tells licences apart.
+A hint is a word that speaks of licensing; every template has one. Its surroundings are compressed with each template as a raw zstandard
+dictionary; the templates are ranked by how small they make them. The best ones are then aligned word by word with as much text around
+the hint as each needs, and one is confirmed if hardly a word differs, and none that tells licences apart.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import reduce
 from operator import and_
@@ -27,6 +28,8 @@ CONTENDERS = 4  # templates that are aligned; any that ties with the last of the
 TOLERANCE = 0.1
 SHORT = 40  # words of a notice that must have every telling word
 WINDOW = 600  # characters around a hint in a line too long to be a notice
+NEAR = 120  # characters on both sides of a hint that rank the templates beside its line
+CHARS = 24  # characters that a word takes at most on the average, with what stands between words
 _WORDS = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+")
 _RESERVED = re.compile(r"\W+".join(RESERVED[1].rstrip(".").split()), re.IGNORECASE)
 
@@ -50,41 +53,11 @@ def hints_for(templates: list[tuple[str, str]]) -> tuple[str, ...]:
     return (*HINTS, *more)
 
 
-def blocks(text: str, pattern: re.Pattern = _HINT) -> list[tuple[int, str]]:
-    """(start, block): runs of lines with hints, a line between two of them included. In a line of more than 4 `WINDOW`
-    characters the block is the stretch of `WINDOW` characters on both sides of the hint; stretches that touch are one."""
-    found: list[list[int]] = []
-    last_line, no = -9, 0
-    at = 0
-    matches = list(pattern.finditer(text))
-    hits = [m.start() for m in matches]
-    if not hits:
-        return []
-    k = 0
-    while k < len(hits):
-        begin = text.rfind("\n", 0, hits[k]) + 1
-        end = text.find("\n", matches[k].end())
-        end = len(text) if end < 0 else end
-        no += text.count("\n", at, begin)
-        at = begin
-        if end - begin > 4 * WINDOW:
-            while k < len(hits) and hits[k] < end:
-                lo, hi = max(begin, hits[k] - WINDOW), min(end, hits[k] + WINDOW)
-                if found and lo <= found[-1][1] and found[-1][2] == no:
-                    found[-1][1] = hi
-                else:
-                    found.append([lo, hi, no])
-                k += 1
-            last_line = -9
-            continue
-        if no - last_line <= 2 and found:
-            found[-1][1] = end
-        else:
-            found.append([begin, end, -1])
-        last_line = no + text.count("\n", begin, end)
-        while k < len(hits) and hits[k] < end:
-            k += 1
-    return [(lo, text[lo:hi]) for lo, hi, _ in found]
+def line_at(text: str, begin: int, end: int, lo: int = 0) -> tuple[int, int]:
+    """The lines from `lo` on that hold [begin, end); of lines of more than 4 `WINDOW` characters the `WINDOW` characters on both sides."""
+    first, last = max(lo, text.rfind("\n", 0, begin) + 1), text.find("\n", end)
+    last = len(text) if last < 0 else last
+    return (first, last) if last - first <= 4 * WINDOW + end - begin else (max(first, begin - WINDOW), min(last, end + WINDOW))
 
 
 class Scanner:
@@ -115,8 +88,7 @@ class Scanner:
         for t in order[size[order] <= last]:
             missing, extra = self.differences(self.words[t], mine)
             telling = [w for w in [*missing, *extra] if w in self.telling]
-            short = len(self.words[t]) < SHORT
-            confirmed = len(missing) <= TOLERANCE * len(self.words[t]) and not (short and telling)
+            confirmed = self.confirmed(t, missing, extra)
             key = (not confirmed, len(missing) + len(extra), len(telling), int(size[t]), int(t))
             if best is None or key < best[0]:
                 best = (key, t, missing, extra, confirmed)
@@ -127,37 +99,95 @@ class Scanner:
         found = 1 - len(missing) / max(1, len(self.words[t]))
         return self.templates[t][0], confirmed, round(float(1 - size[t] / alone), 6), round(found, 6), missing, extra, len(self.words[t]) - len(missing)
 
+    def rank(self, block: str) -> list[int]:
+        """The templates that make the block smallest when they are its dictionary."""
+        raw = " ".join(block.lower().split()).encode()
+        size = np.array([len(c.compress(raw)) for c in self.primed])
+        last = np.sort(size)[min(CONTENDERS, len(size)) - 1]
+        return np.flatnonzero(size <= last).tolist()
+
+    def notice(self, text: str, begin: int, end: int, lo: int) -> tuple[int, int, int, list[str], list[str]] | None:
+        """(start, end, template, words missing, words extra) of the confirmed notice around the hint [begin, end), not before `lo`. The
+        contenders are ranked by the hint's line and by what stands close to it; each is aligned with as many words before and after the
+        hint as it has itself, wherever lines end."""
+        first, last = line_at(text, begin, end, lo)
+        contenders = {*self.rank(text[first:last]), *self.rank(text[max(lo, begin - NEAR) : end + NEAR])}
+        reach = CHARS * max(len(self.words[t]) for t in contenders) + NEAR
+        at = max(lo, begin - reach)
+        tokens = [(m.start() + at, m.end() + at, m.group().lower()) for m in _WORDS.finditer(text[at : end + reach])]
+        here = sum(e <= begin for _, e, _ in tokens)
+        best = None
+        for t in sorted(contenders):
+            n = len(self.words[t])
+            slack = 3 + int(TOLERANCE * n)
+            low = max(0, here - n - slack)
+            mine = [w for _, _, w in tokens[low : here + n + slack]]
+            if n - (Counter(self.words[t]) & Counter(mine)).total() > TOLERANCE * n:
+                continue
+            for a, b, missing, extra in self.alignments(self.words[t], mine, slack):
+                if tokens[low + a][0] >= end or tokens[low + b - 1][1] <= begin or not self.confirmed(t, missing, extra):
+                    continue
+                key = (n - 2 * len(missing) - len(extra), -t)
+                if best is None or key > best[0]:
+                    best = key, (tokens[low + a][0], tokens[low + b - 1][1], t, missing, extra)
+                break
+        return best and best[1]
+
+    def confirmed(self, t: int, missing: list[str], extra: list[str]) -> bool:
+        return len(missing) <= TOLERANCE * len(self.words[t]) and not (len(self.words[t]) < SHORT and any(w in self.telling for w in [*missing, *extra]))
+
+    @staticmethod
+    def alignments(template: list[str], block: list[str], slack: int):
+        """(first, end, words missing, words extra) of the template in the block, trimmed to the run of equal words that outweighs the words between
+        them most: first where the longest equal run puts it, then anywhere."""
+        whole = SequenceMatcher(None, template, block, autojunk=False)
+        a, b, size = whole.find_longest_match(0, len(template), 0, len(block))
+        low = max(0, b - a - slack)
+        for at, part in ((low, block[low : b - a + len(template) + slack]), (0, block)):
+            best, run, score, end = (0, []), [], 0, 0
+            for i, j, n in SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks()[:-1]:
+                score -= j - end
+                if score <= 0:
+                    run, score = [], 0
+                run, score, end = [*run, (i, j, n)], score + n, j + n
+                if score > best[0]:
+                    best = score, run
+            run = best[1]
+            if run:
+                same = {k for i, _, n in run for k in range(i, i + n)}
+                missing = [w for k, w in enumerate(template) if k not in same]
+                extra = [w for (_, j, n), (_, after, _) in zip(run, run[1:]) for w in part[j + n : after]]
+                yield at + run[0][1], at + run[-1][1] + run[-1][2], missing, extra
+
     def scan_all(self, text: str) -> list[tuple]:
-        """(start, block, *scan) of a text's blocks. A block of several lines that is more than one notice is taken apart: lines that are
-        confirmed by themselves stand alone, the runs of lines between them are scanned together if they have a hint."""
-        out = []
-        for start, block in blocks(text, self.hint):
-            got = self.scan(block)
+        """(start, block, licence, confirmed, size reduction, share of words found, words missing, words extra) of a text's notices and of the
+        blocks of lines with a hint that belongs to none; a line between two such lines is included."""
+        out, loose, lo, at = [], [], 0, 0
+        while (hint := self.hint.search(text, at)) is not None:
+            got = self.notice(text, *hint.span(), lo) if self.templates else None
             if got is None:
-                continue
-            words = len(wording(block))
-            if "\n" not in block or (got[1] and words - got[6] <= TOLERANCE * words):
-                out.append((start, block, *got[:6]))
-                continue
-            parts, run, at, run_at = [], [], start, start
-            for line in block.split("\n"):
-                alone = self.scan(line) if self.hint.search(line) else None
-                if alone and alone[1]:
-                    parts += [(run_at, "\n".join(run), None), (at, line, alone)]
-                    run = []
+                begin, end = line_at(text, *hint.span(), lo)
+                if loose and (begin <= loose[-1][1] or text.count("\n", loose[-1][1], begin) <= 2 and end - begin <= 4 * WINDOW) and end - loose[-1][0] <= 8 * WINDOW:
+                    loose[-1][1] = max(end, loose[-1][1])
                 else:
-                    run_at = at if not run else run_at
-                    run.append(line)
-                at += len(line) + 1
-            parts.append((run_at, "\n".join(run), None))
-            if len(parts) == 1:
-                out.append((start, block, *got[:6]))
+                    loose.append([max([begin, *(b for _, b in loose[-1:])]), end])
+                at = hint.end()
                 continue
-            for where, part, known in parts:
-                result = known or (self.scan(part) if self.hint.search(part) else None)
-                if result:
-                    out.append((where, part, *result[:6]))
-        return out
+            begin, end, t, missing, extra = got
+            begin, end = self.around(text, begin, end, lo)
+            raw = " ".join(text[begin:end].lower().split()).encode()
+            out += self.candidates(text, loose, begin)
+            out.append((begin, text[begin:end], self.templates[t][0], True, round(1 - len(self.primed[t].compress(raw)) / len(self.plain.compress(raw)), 6), round(1 - len(missing) / len(self.words[t]), 6), missing, extra))
+            loose, lo, at = [], end, end
+        return out + self.candidates(text, loose, len(text))
+
+    def around(self, text: str, begin: int, end: int, lo: int) -> tuple[int, int]:
+        """The notice with its lines."""
+        return line_at(text, begin, end, lo)
+
+    def candidates(self, text: str, loose: list[list[int]], before: int) -> list[tuple]:
+        found = [(begin, text[begin : min(end, before)]) for begin, end in loose if begin < before]
+        return [(begin, block, *got[:6]) for begin, block in found if self.hint.search(block) and (got := self.scan(block)) is not None]
 
     @staticmethod
     def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:

@@ -3,6 +3,7 @@
 import base64
 import itertools
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -278,6 +279,77 @@ def test_all_rights_reserved_has_a_row(spark):
     assert sorted(got) == [(1, "All-Rights-Reserved", False, 1.0), (2, "All-Rights-Reserved", False, 1.0)]
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD2_TEXT = """Copyright (c) 2020, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3_TEXT = BSD2_TEXT + """
+3. Neither the name of the Example Company nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+GNU_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def test_license_texts_as_they_are_wrapped(spark):
+    public = [("MIT", MIT_TEXT), ("BSD-2-Clause", BSD2_TEXT + BSD_END), ("BSD-3-Clause", BSD3_TEXT + BSD_END), ("ISC", ISC_TEXT), ("GPL-2.0", GNU_TEXT.format("", "2")), ("GPL-3.0", GNU_TEXT.format("", "3")), ("LGPL-2.1", GNU_TEXT.format("Lesser ", "2.1")), ("AGPL-3.0", GNU_TEXT.format("Affero ", "3"))]
+    ways = [lambda t: t, lambda t: "prose of the author\n" * 9 + t + "\nfurther prose" * 9, lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */\nint main;", lambda t: "\n".join(textwrap.wrap(t, 30)), lambda t: t.replace("\n", " ")]
+    rows = [(k * 10 + w, name, way(text)) for k, (name, text) in enumerate(public) for w, way in enumerate(ways)]
+    rows.append((1000, "", MIT_TEXT + "\n\n" + GNU_TEXT.format("", "2") + "\n\n" + BSD3_TEXT + BSD_END))
+    out = licenses.license_scan(spark.createDataFrame([(a, b) for a, _, b in rows], "doc_id bigint, text string")).collect()
+    sure = sorted((r.doc_id, r.license) for r in out if r.confirmed)
+    assert sure == sorted([(a, name) for a, name, _ in rows if name] + [(1000, "MIT"), (1000, "GPL-2.0"), (1000, "BSD-3-Clause")])
+    texts = {a: b for a, _, b in rows}
+    assert all(texts[r.doc_id][r.start : r.start + len(r.block)] == r.block for r in out)
+
+
 # ------------------------------------------------------------------ 5
 
 

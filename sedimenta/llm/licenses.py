@@ -73,6 +73,7 @@ class Scanner:
         everywhere = set.intersection(*[set(w) for w in self.words]) if self.words else set()
         generic = {"licensed", "released", "distributed", "this", "work", "project", "is", "under", "the", "a", "license", "licence", "of", "by", "at", "or", "and", "in", "you", "may", "file", "http", "https", "www"}
         self.telling = {w for ws in self.words for w in ws} - generic - everywhere
+        self.short = {t: self.telling.intersection(ws) for t, ws in enumerate(self.words) if len(ws) < SHORT}
 
     def scan(self, block: str) -> tuple[str, bool, float, float, list[str], list[str], int] | None:
         """(licence, confirmed, size reduction, share of the template's words found, words missing, words extra, words matched)."""
@@ -108,14 +109,17 @@ class Scanner:
 
     def notice(self, text: str, begin: int, end: int, lo: int) -> tuple[int, int, int, list[str], list[str]] | None:
         """(start, end, template, words missing, words extra) of the confirmed notice around the hint [begin, end), not before `lo`. The
-        contenders are ranked by the hint's line and by what stands close to it; each is aligned with as many words before and after the
-        hint as it has itself, wherever lines end."""
+        contenders are ranked by the hint's line and by what stands close to it, which tells short notices amid other text too little apart:
+        those whose telling words all stand around the hint contend as well. Each is aligned with as many words before and after the hint as it
+        has itself, wherever lines end."""
         first, last = line_at(text, begin, end, lo)
         contenders = {*self.rank(text[first:last]), *self.rank(text[max(lo, begin - NEAR) : end + NEAR])}
-        reach = CHARS * max(len(self.words[t]) for t in contenders) + NEAR
+        reach = CHARS * max(SHORT, *(len(self.words[t]) for t in contenders)) + NEAR
         at = max(lo, begin - reach)
         tokens = [(m.start() + at, m.end() + at, m.group().lower()) for m in _WORDS.finditer(text[at : end + reach])]
         here = sum(e <= begin for _, e, _ in tokens)
+        close = {w for _, _, w in tokens[max(0, here - 2 * SHORT) : here + 2 * SHORT]}
+        contenders |= {t for t, named in self.short.items() if named <= close}
         best = None
         for t in sorted(contenders):
             n = len(self.words[t])
@@ -182,8 +186,12 @@ class Scanner:
         return out + self.candidates(text, loose, len(text))
 
     def around(self, text: str, begin: int, end: int, lo: int) -> tuple[int, int]:
-        """The notice with its lines."""
-        return line_at(text, begin, end, lo)
+        """The notice with its lines, as far as no other hint is in them."""
+        first, last = line_at(text, begin, end, lo)
+        before = [m.end() for m in self.hint.finditer(text, first, begin)]
+        after = self.hint.search(text, end, last)
+        stop = re.compile(r"[^\w\s]*").match(text, end, last).end()  # its own full stop
+        return begin if before else first, stop if after else last
 
     def candidates(self, text: str, loose: list[list[int]], before: int) -> list[tuple]:
         found = [(begin, text[begin : min(end, before)]) for begin, end in loose if begin < before]

@@ -350,6 +350,24 @@ def test_license_texts_as_they_are_wrapped(spark):
     assert all(texts[r.doc_id][r.start : r.start + len(r.block)] == r.block for r in out)
 
 
+def test_license_notices_in_one_line(spark):
+    prose = "the river ran through the valley of the old town and under the bridge in a long summer " * 6
+    mit, apache, cc = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Released under CC BY-SA 4.0."
+    rows = [
+        (1, f"{mit} {apache}", ["Apache-2.0", "MIT"]),
+        (2, f"{apache} {mit} {cc}", ["Apache-2.0", "CC-BY-SA-4.0", "MIT"]),
+        (3, f"{prose}{mit} {prose}{apache} {prose}", ["Apache-2.0", "MIT"]),
+        (4, f"{prose}{mit} {prose}{cc} {prose}{apache} {prose}" * 2, ["Apache-2.0", "Apache-2.0", "CC-BY-SA-4.0", "CC-BY-SA-4.0", "MIT", "MIT"]),
+        (5, f"{' '.join(MIT_TEXT.split())} {' '.join(ISC_TEXT.split())} {mit}", ["ISC", "MIT", "MIT"]),
+        (6, f"{mit} {mit}\n{cc}", ["CC-BY-SA-4.0", "MIT", "MIT"]),
+    ]
+    out = licenses.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()
+    assert {a: sorted(r.license for r in out if r.doc_id == a and r.confirmed) for a, _, _ in rows} == {a: c for a, _, c in rows}
+    texts = {a: b for a, b, _ in rows}
+    assert all(texts[r.doc_id][r.start : r.start + len(r.block)] == r.block for r in out)
+    assert [r.block.strip() for r in sorted(out, key=lambda r: r.start) if r.doc_id == 2] == [apache, mit, cc]
+
+
 # ------------------------------------------------------------------ 5
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ BLOCK = 64
 CHI2 = 15.0
 MIN_DOCS = 4
 REJECT = 0.5
+DRAWS = 4  # samples of the labels at most, the first among them
 
 
 @dataclass
@@ -201,16 +203,35 @@ def independent(sets: list[np.ndarray], alike: float = 0.5) -> np.ndarray:
     return keep
 
 
+def evidence(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, per_class: int) -> pd.DataFrame:
+    """(id, y, h, n) of up to `per_class` labelled documents of each class, by id, near copies of one another within a class counted once; of a
+    toxic and a clean text that are alike both stay. Places that copies took are drawn again, in at most `DRAWS` samples."""
+    kept: list[pd.DataFrame | None] = [None, None]
+    want, taken = [per_class, per_class], [0, 0]
+    for _ in range(DRAWS):
+        if not any(want):
+            break
+        sample = labelled_sample(docs, labels, "toxic", tuple(want), text_col, id_col, tuple(taken))
+        rows = sample.select("id", "y", "text").mapInArrow(_word_sets, "id bigint, y int, h binary, n binary").toPandas().sort_values("id", ignore_index=True)
+        for y in (0, 1):
+            new = rows[rows["y"] == y]
+            both = new if kept[y] is None else pd.concat([kept[y], new])
+            had = 0 if kept[y] is None else len(kept[y])
+            kept[y] = both[independent([np.frombuffer(x, np.uint64) for x in both["h"]])].head(per_class)
+            missing, rate = per_class - len(kept[y]), (len(kept[y]) - had) / max(1, len(new))
+            taken[y] += want[y]
+            want[y] = min(per_class, int(np.ceil(missing / max(rate, 0.05)))) if want[y] and len(new) == want[y] else 0
+    return pd.concat(kept).sort_values("id", ignore_index=True)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS) -> ToxicityModel:
-    """The model from at most 2 x `max_examples` labelled documents of each class, near copies of one another counted once: by the
+    """The model from at most 2 x `max_examples` labelled documents of each class, near copies of one another in it counted once: by the
     hash of their ids every other one is an example, the others calibrate. Document frequencies count all of `docs`."""
-    sample = labelled_sample(docs, labels, "toxic", 2 * max_examples, text_col, id_col)
-    rows = sample.select("id", "y", "text").mapInArrow(_word_sets, "id bigint, y int, h binary, n binary").toPandas().sort_values("id", ignore_index=True)
+    rows = evidence(docs, labels, text_col, id_col, 2 * max_examples)
     sets = [np.frombuffer(x, np.uint64) for x in rows["h"]]
     y = rows["y"].to_numpy(np.int64)
     turn = (rows["id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(int) if len(rows) else np.zeros(0, int)
-    alone = independent(sets)
-    example, held_out = (turn == 0) & alone, (turn == 1) & alone
+    example, held_out = turn == 0, turn == 1
     held = [(np.concatenate([s for s, e, c in zip(sets, example, y) if e and c == label] or [np.zeros(0, np.uint64)])) for label in (0, 1)]
     n0, n1 = int((example & (y == 0)).sum()), int((example & (y == 1)).sum())
     vocabulary, inverse = np.unique(np.concatenate(held), return_inverse=True)

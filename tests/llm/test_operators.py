@@ -141,6 +141,19 @@ def test_toxicity_on_odd_rows(spark):
     assert toxicity.toxicity(docs, labels(spark).limit(0)).count() == docs.count()
 
 
+def test_toxicity_evidence_keeps_doubles_of_the_other_class_and_refills_copies(spark):
+    rng = random.Random(3)
+    text = {k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for k in range(120)}
+    rows = [(k, text[k], int(k < 60)) for k in range(120)] + [(200 + k, text[0] + f" e{k}", 1) for k in range(90)] + [(300, text[5] + " but", 0)]
+    docs, known = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id bigint, toxic int")
+    whole = toxicity.evidence(docs, known, "text", "doc_id", 200)
+    assert sorted(whole["id"]) == [*range(120), 300]
+    few = toxicity.evidence(docs, known, "text", "doc_id", 30)
+    assert few.groupby("y").size().to_dict() == {0: 30, 1: 30}
+    assert few["id"].is_unique and few["id"].is_monotonic_increasing and ((few["id"] == 0) | few["id"].between(200, 299)).sum() == 1
+    assert toxicity.evidence(docs, known.limit(0), "text", "doc_id", 30).empty
+
+
 # ------------------------------------------------------------------ 3
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -20,6 +21,7 @@ def local_session(cpus: int | str = 8, app: str = "sedimenta", **conf: str) -> S
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SEDIMENTA_DRIVER_MEMORY", "8g"))
@@ -49,11 +51,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and written tables: the one that the cluster names (spark.checkpoint.dir). Where none is named, a
+    folder of this machine serves local masters only; on a cluster its executors couldn't share it, so that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedimenta-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The table written to the checkpoint folder and read from there: a loop's lineage ends here, and lost
-    executors don't lose it. The folder is the cluster's (spark.checkpoint.dir); one of our own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedimenta-checkpoint-"))
+    executors don't lose it."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sedimenta.session import cut, ensure_checkpoint_dir
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; one of our own only where it names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sedimenta-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read from there: its lineage ends here."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["Slice", "bloom_positions", "bloom_set", "bloom_size", "bloom_test", "build_filter", "by_slice", "collect_filter", "cut", "filter_tester", "fresh", "orderable", "quoted", "removed", "row_order", "shuffle_partitions", "slice_column", "slices_for", "split_rows", "written"]
 
 
 def written(df: DataFrame) -> str:
     """The path of a Parquet copy of the table in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}.parquet"
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return path
 
@@ -135,34 +125,56 @@ def filter_tester(spark: SparkSession, parts: list[tuple[int, bytes]], slices: i
     return may_hold
 
 
-def build_filter(hashes: DataFrame, slices: int, bits_per_item: int = 12) -> DataFrame:
-    """A Bloom filter of the int64 column `h` of `hashes`, in slices (slice, bits) of the hash space, each
-    built by the task that holds all hashes of the slice."""
+SLICE_ROWS = 1 << 22  # rows of a slice: its task holds a filter of them, not the rows
 
-    def build(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            _hold(held, batch.column(0).to_numpy(zero_copy_only=False), slices)
-        yield from _slice_rows(((k, np.unique(np.concatenate(v))) for k, v in held.items()), bits_per_item)
 
-    return hashes.select("h").repartition(slices, slice_column(F.col("h"), slices)).mapInArrow(build, "slice int, bits binary")
+def slices_for(spark: SparkSession, rows: int) -> int:
+    """How many slices a filter of so many rows gets: as many as shuffles have partitions, and more where slices would grow beyond `SLICE_ROWS`."""
+    return max(shuffle_partitions(spark), -(-rows // SLICE_ROWS))
+
 
+class Slice:
+    """A Bloom filter that is filled batch by batch; `items` is the most that it is made for."""
 
-def _hold(held: dict[int, list[np.ndarray]], values: np.ndarray, slices: int) -> None:
-    values = values.astype(np.int64)
-    where = slice_of(values, slices)
-    for k in np.unique(where):
-        held.setdefault(int(k), []).append(values[where == k])
+    def __init__(self, items: int, bits_per_item: int) -> None:
+        self.bitmap = np.zeros(bloom_size(items, bits_per_item) // 8, np.uint8)
 
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Adds the hashes; tells which of them the filter may have held before."""
+        pos = bloom_positions(hashes, len(self.bitmap) * 8)
+        held = bloom_test(self.bitmap, pos)
+        bloom_set(self.bitmap, pos)
+        return held
 
-def _slice_rows(filled, bits_per_item: int):
-    import pyarrow as pa
 
-    for k, items in filled:
-        if len(items):
-            bitmap = np.zeros(bloom_size(len(items), bits_per_item) // 8, np.uint8)
-            bloom_set(bitmap, bloom_positions(items, len(bitmap) * 8))
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([bitmap.tobytes()], pa.binary())})
+def by_slice(batches, slices: int):
+    """(slice, its hashes) of each batch of hashes."""
+    for batch in batches:
+        values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        where = slice_of(values, slices)
+        order = np.argsort(where, kind="stable")
+        edges = np.flatnonzero(np.diff(where[order], prepend=-1))
+        for lo, hi in zip(edges, [*edges[1:], len(order)]):
+            yield int(where[order[lo]]), values[order[lo:hi]]
+
+
+def slice_rows(held: dict[int, Slice]):
+    for k, part in held.items():
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "bits": pa.array([part.bitmap.tobytes()], pa.binary())})
+
+
+def build_filter(hashes: DataFrame, slices: int, rows: int, bits_per_item: int = 12) -> DataFrame:
+    """A Bloom filter of the int64 column `h` of `hashes` (of so many rows), in slices (slice, bits) of the hash space; the task that owns a
+    slice fills it batch by batch."""
+    each = int(1.1 * rows / slices) + 1000
+
+    def build(batches):
+        held: dict[int, Slice] = {}
+        for k, part in by_slice(batches, slices):
+            held.setdefault(k, Slice(each, bits_per_item)).add(part)
+        yield from slice_rows(held)
+
+    return hashes.select("h").repartition(slices, slice_column(F.col("h"), slices)).mapInArrow(build, "slice int, bits binary")
 
 
 def collect_filter(parts: DataFrame, max_mb: float) -> list[tuple[int, bytes]] | None:
@@ -172,20 +184,16 @@ def collect_filter(parts: DataFrame, max_mb: float) -> list[tuple[int, bytes]] |
     return None if total > max_mb * 1e6 else [(r[0], bytes(r[1])) for r in parts.collect()]
 
 
-def drop_ids(df: DataFrame, losers: DataFrame, id_col: str, max_filter_mb: float = 128) -> DataFrame:
-    """The rows of `df` without those whose id is in the bigint column `id` of `losers`. A Bloom filter of the ids lets
-    most rows pass where they are; only rows that it holds shuffle. Beyond `max_filter_mb` all rows shuffle."""
-    spark = df.sparkSession
-    slices = shuffle_partitions(spark)
-    parts = collect_filter(build_filter(losers.select(F.xxhash64(F.col("id")).alias("h")), slices), max_filter_mb)
-    gone, key = losers.select(F.col("id").alias(fresh(df, "gone")[0])), quoted(id_col).cast("bigint")
+def split_rows(df: DataFrame, keys: list[Column], wanted: DataFrame, max_filter_mb: float = 128) -> tuple[DataFrame | None, DataFrame]:
+    """(passed, held): the rows of `df` whose keys surely aren't among the rows of `wanted` (a table that is cheap to read twice, with as many
+    columns), and the others. A Bloom filter of the keys tells them apart where the rows lie; beyond `max_filter_mb` passed is None and held is `df`."""
+    spark, rows = df.sparkSession, wanted.count()
+    if not rows:
+        return df, df.limit(0)
+    slices = slices_for(spark, rows)
+    parts = collect_filter(build_filter(wanted.select(F.xxhash64(*wanted.columns).alias("h")), slices, rows), max_filter_mb)
     if parts is None:
-        return df.join(gone, key == gone[0], "left_anti")
-    if not parts:
-        return df
-    tester = filter_tester(spark, parts, slices)
+        return None, df
     hit = fresh(df, "hit")[0]
-    tagged = df.withColumn(hit, F.coalesce(tester(F.xxhash64(key)), F.lit(False)) & key.isNotNull())
-    passed = tagged.filter(~F.col(hit)).drop(hit)
-    held = tagged.filter(F.col(hit)).drop(hit)
-    return passed.unionByName(held.join(gone, key == gone[0], "left_anti"))
+    tagged = df.withColumn(hit, F.coalesce(filter_tester(spark, parts, slices)(F.xxhash64(*keys)), F.lit(False)))
+    return tagged.filter(~F.col(hit)).drop(hit), tagged.filter(F.col(hit)).drop(hit)

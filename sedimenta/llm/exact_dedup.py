@@ -1,7 +1,7 @@
 """Exact deduplication in two Bloom passes.
 
-Pass one sends only 64-bit text hashes to the slice that owns them. A slice keeps a first-seen Bloom
-filter; a hash that the filter already holds may be repeated and enters the slice's second filter.
+Pass one sends only 64-bit text hashes to the slice that owns them; the number of slices follows the number of rows. A slice
+fills a first-seen Bloom filter batch by batch; a hash that the filter already holds may be repeated and enters the slice's second filter.
 Pass two tests every row against the second filters: rows that they don't hold are the only ones with
 their text and stay where they are, the rest shuffle and are compared by their whole text.
 """
@@ -12,43 +12,43 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import (
-    _hold,
-    _slice_rows,
-    bloom_positions,
-    bloom_set,
-    bloom_size,
-    bloom_test,
-    collect_filter,
-    filter_tester,
-    fresh,
-    orderable,
-    quoted,
-    shuffle_partitions,
-    slice_column,
-)
-
-
-def _repeated(hashes: np.ndarray, bits_per_item: int, batch: int = 1 << 16) -> np.ndarray:
-    """Hashes that a first-seen filter already held when they came, or that came twice in one batch."""
-    bitmap = np.zeros(bloom_size(len(hashes), bits_per_item) // 8, np.uint8)
-    found = []
-    for lo in range(0, len(hashes), batch):
-        part, counts = np.unique(hashes[lo : lo + batch], return_counts=True)
-        pos = bloom_positions(part, len(bitmap) * 8)
-        found.append(part[(counts > 1) | bloom_test(bitmap, pos)])
-        bloom_set(bitmap, pos)
-    return np.unique(np.concatenate(found)) if found else hashes[:0]
-
-
-def maybe_repeated_filter(hashes: DataFrame, slices: int, bits_per_item: int = 16) -> DataFrame:
-    """Slices (slice, bits) of a filter of the hashes `h` that may occur more than once."""
+from sedimenta.llm.common import Slice, by_slice, collect_filter, filter_tester, fresh, orderable, quoted, slice_column, slice_rows, slices_for
+
+
+class Repeats:
+    """A first-seen filter and the hashes that it already held when they came, or that came twice in one batch."""
+
+    def __init__(self, items: int, bits_per_item: int) -> None:
+        self.seen, self.found, self.held = Slice(items, bits_per_item), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        part, counts = np.unique(hashes, return_counts=True)
+        again = part[self.seen.add(part) | (counts > 1)]
+        self.found.append(again)
+        self.held += len(again)
+        if self.held > 1 << 20:
+            self.found = [self.all()]
+            self.held = 0
+
+    def all(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.found)) if self.found else np.zeros(0, np.int64)
+
+
+def maybe_repeated_filter(hashes: DataFrame, slices: int, rows: int, bits_per_item: int = 16) -> DataFrame:
+    """Slices (slice, bits) of a filter of the hashes `h` (of so many rows) that may occur more than once."""
+    each = int(1.1 * rows / slices) + 1000
 
     def build(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            _hold(held, batch.column(0).to_numpy(zero_copy_only=False), slices)
-        yield from _slice_rows(((k, _repeated(np.concatenate(v), bits_per_item)) for k, v in held.items()), bits_per_item)
+        held: dict[int, Repeats] = {}
+        for k, part in by_slice(batches, slices):
+            held.setdefault(k, Repeats(each, bits_per_item)).add(part)
+        filters = {}
+        for k in list(held):
+            again = held.pop(k).all()
+            if len(again):
+                filters[k] = Slice(len(again), bits_per_item)
+                filters[k].add(again)
+        yield from slice_rows(filters)
 
     return hashes.repartition(slices, slice_column(F.col("h"), slices)).mapInArrow(build, "slice int, bits binary")
 
@@ -57,15 +57,16 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", b
     """One row of every set of rows with the same text, all columns unchanged.
 
     Of rows with one text the one with the smallest `id_col` stays (null ids last; ties go by the other
-    columns, so equal rows leave one). Texts compare byte by byte: case and white space count. A null text
-    equals no other, so such rows all stay; the empty text is a text like any. An empty table gives an empty
+    columns, so equal rows leave one). Texts compare byte by byte over their whole length, however long: case and
+    white space count. A null text equals no other, so such rows all stay; the empty text is a text like any. An empty table gives an empty
     table. Helper columns take names that the table doesn't have. `max_filter_mb` bounds the broadcast filter;
     beyond it every row takes the path of the rows that the filter holds.
     """
     spark, text = df.sparkSession, quoted(text_col)
-    slices = shuffle_partitions(spark)
+    rows = df.count()
+    slices = slices_for(spark, rows)
     hashes = df.filter(text.isNotNull()).select(F.xxhash64(text).alias("h"))
-    parts = collect_filter(maybe_repeated_filter(hashes, slices, bits_per_item), max_filter_mb)
+    parts = collect_filter(maybe_repeated_filter(hashes, slices, rows, bits_per_item), max_filter_mb)
     if parts is None:
         return df.filter(text.isNull()).unionByName(_smallest(df.filter(text.isNotNull()), text_col, id_col))
     if not parts:

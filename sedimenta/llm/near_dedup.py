@@ -1,9 +1,10 @@
 """Near duplicates by a chosen-path set similarity join.
 
-A text is the set of its word 3-grams, seen through `COORDS` minwise tokens. In each of several independent
-trees a node chooses one or two coordinates, and every document of the node goes to a child for its minwise
-token there; the chance of meeting again is the similarity. Small nodes are compared exhaustively, large ones
-branch on. Documents that match are linked, and linked documents form groups.
+A text is the set of its word 3-grams, seen through `COORDS` minwise tokens; sets with the same tokens are one. In each of several
+trees a node chooses one or two coordinates, and every set of the node goes to a child for its minwise token there; the chance of meeting
+again is the share of tokens that agree, which estimates the similarity. Given the tokens, the trees choose independently, so their number
+follows from the recall wanted. Small nodes are compared exhaustively, large ones branch on; what is still large on the last
+level is compared in blocks. Sets that match are linked, and the texts of linked sets form groups.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut, drop_ids, fresh, quoted, row_order, shuffle_partitions
+from sedimenta.llm.common import cut, fresh, quoted, row_order, shuffle_partitions, split_rows
 from sedimenta.llm.textkit import mix, spans, string_buffers, words
 
 COORDS = 256
 SHINGLE = 3
-TREES = 7
+RECALL = 0.95  # of pairs at the threshold, however deep the tree: more alike ones are found more surely
 THRESHOLD = 0.55
 SMALL = 1000
 DEPTH = 8
@@ -28,6 +29,16 @@ _A = _rng.integers(1, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32) | np.u
 _B = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32)
 
 
+def trees_for(recall: float, threshold: float, depth: int) -> int:
+    """How many trees find a pair that agrees in `threshold` of its tokens with probability `recall`, even if its nodes stay large down to the
+    last level. In one tree the pair survives a branching process with 1/threshold children in the mean, each kept with the chance `threshold`."""
+    base, miss = int(1 / threshold), 0.0
+    for _ in range(depth):
+        part = 1 - threshold + threshold * miss
+        miss = part**base * (1 - (1 / threshold - base) * (1 - part))
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(miss)))) if miss > 0 else 1
+
+
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word k-grams of each row and the first index of each row (and the total). A row of
     fewer words than k has one shingle of all its words, a row without words has none."""
@@ -129,6 +140,7 @@ def _sketch_batches(trees: int, threshold: float):
                 flat = (mins & np.uint32(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict({
                     "id": ids.slice(lo, hi - lo).take(pa.array(some)),
+                    "th": batch.column(2).slice(lo, hi - lo).take(pa.array(some)),
                     "sh": pa.array(whole.view(np.int64)),
                     "sig": pa.array([r.tobytes() for r in flat], pa.binary()),
                     "keys": pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel().view(np.int64))),
@@ -145,13 +157,13 @@ def _branch_batches(threshold: float):
             for rows, coord in chosen(key, threshold):
                 if len(rows):
                     at = pa.array(rows)
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(child_key(key[rows], coord, sig[rows, coord]).view(np.int64)), "id": batch.column(1).take(at), "sig": batch.column(2).take(at)})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(child_key(key[rows], coord, sig[rows, coord]).view(np.int64)), "sh": batch.column(1).take(at), "sig": batch.column(2).take(at)})
 
     return run
 
 
 def _compare_batches(threshold: float):
-    """Rows (key, id, sig) sorted by key and id -> links (a, b)."""
+    """Rows (key, sh, sig) sorted by key and sh -> links (a, b)."""
 
     def nodes(batches):
         held: list = []
@@ -196,35 +208,39 @@ def _compare_batches(threshold: float):
     return run
 
 
-def near_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, trees: int = TREES, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Links (a, b) between ids, a < b, that join all found pairs of estimated similarity `threshold` or more."""
-    base = df.filter(quoted(id_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(id_col).cast("bigint").alias("id"), quoted(text_col).cast("string").alias("text"))
-    sketches = cut(base.mapInArrow(_sketch_batches(trees, threshold), "id bigint, sh bigint, sig binary, keys array<bigint>"))
+def sketches(df: DataFrame, text_col: str, id_col: str, threshold: float, trees: int) -> DataFrame:
+    """(id, th, sh, sig, keys) of each row with an id and words: hash of the text, hash of its set's tokens, the tokens as bytes, and the nodes
+    of the first level."""
+    text = quoted(text_col).cast("string")
+    base = df.filter(quoted(id_col).isNotNull() & text.isNotNull()).select(quoted(id_col).cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    return base.mapInArrow(_sketch_batches(trees, threshold), "id bigint, th bigint, sh bigint, sig binary, keys array<bigint>")
 
-    # equal sketches: one of them stands for all in the trees
-    sets = sketches.groupBy("sh").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min("keys").alias("keys"))
-    sets = cut(sets)
-    equal = sketches.select("id", "sh").join(sets.filter("n > 1").select("sh", "rep"), "sh").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    rows = sets.select("rep", F.explode("keys").alias("key"))
+def near_links(sketched: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """Links (a, b) between sets `sh`, a < b, that join all found pairs of sets of estimated similarity `threshold` or more."""
+    sets = cut(sketched.groupBy("sh").agg(F.min("sig").alias("sig"), F.min("keys").alias("keys")))
+    rows = sets.select("sh", F.explode("keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    rows = rows.join(counts, "key").select("key", F.col("rep").alias("id"), "m")
-    sig = sketches.select(F.col("id"), "sh", "sig").join(sets.select(F.col("rep").alias("id"), "sh"), ["id", "sh"], "left_semi").drop("sh").dropDuplicates(["id"])
-    level = cut(rows.join(sig, "id").select("key", "id", "sig", "m"))
+    level = cut(rows.join(counts, "key").join(sets.select("sh", "sig"), "sh").select("key", "sh", "sig", "m"))
 
-    parts = shuffle_partitions(df.sparkSession)
+    parts = shuffle_partitions(sketched.sparkSession)
     found = []
     for d in range(1, depth + 1):
-        ready = level if d == depth else level.filter(F.col("m") <= small)
-        ready = ready.select("key", "id", "sig").repartition(parts, "key").sortWithinPartitions("key", "id")
+        ready, more = level.filter(F.col("m") <= small).select("key", "sh", "sig"), level.filter(F.col("m") > small)
+        over = more.isEmpty()
+        if d == depth and not over:  # blocks of about `small` sets; every pair of blocks is a node
+            n, own = F.ceil(F.col("m") / small).cast("bigint"), F.col("own")
+            blocks = more.withColumn("own", F.pmod(F.xxhash64("sh", "key"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+            ready = ready.unionByName(blocks.select(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")).alias("key"), "sh", "sig"))
+        ready = ready.repartition(parts, "key").sortWithinPartitions("key", "sh")
         found.append(ready.mapInArrow(_compare_batches(threshold), "a bigint, b bigint"))
-        if d == depth or (more := level.filter(F.col("m") > small)).isEmpty():
+        if over or d == depth:
             break
-        grown = more.select("key", "id", "sig").mapInArrow(_branch_batches(threshold), "key bigint, id bigint, sig binary").dropDuplicates(["key", "id"])
+        grown = more.select("key", "sh", "sig").mapInArrow(_branch_batches(threshold), "key bigint, sh bigint, sig binary").dropDuplicates(["key", "sh"])
         counts = grown.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-        level = cut(grown.join(counts, "key").select("key", "id", "sig", "m"))
-    links = equal
-    for x in found:
+        level = cut(grown.join(counts, "key").select("key", "sh", "sig", "m"))
+    links = found[0]
+    for x in found[1:]:
         links = links.unionByName(x)
     return links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -248,28 +264,51 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def members(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """(id, th, n, keep): every text of a group of more than one row, how often it occurs with its id, and the text (id, th) that stays: the one
+    with the smallest id and, of texts with that id, the smallest hash."""
+    sketched = cut(sketches(df, text_col, id_col, threshold, trees_for(recall, threshold, depth)))
+    roots = components(near_links(sketched, threshold, small, depth)).withColumnRenamed("id", "sh")
+    rows = sketched.groupBy("id", "th", "sh").agg(F.count("*").alias("n")).join(roots, "sh", "left").select("id", "th", "n", F.coalesce("root", "sh").alias("c"))
+    keep = rows.groupBy("c").agg(F.min(F.struct("id", "th")).alias("keep"), F.sum("n").alias("total")).filter("total > 1").select("c", "keep")
+    return cut(rows.join(keep, "c").select("id", "th", "n", "keep"))
+
+
 def near_groups(df: DataFrame, **how) -> DataFrame:
-    """(id, root) of every document in a group of near duplicates, its smallest id's own row left out."""
-    return components(near_links(df, **how))
+    """(id, root): the ids of each group of near duplicates but the smallest, and the smallest. An id with several texts may be in several groups."""
+    return members(df, **how).filter("id <> keep.id").select("id", F.col("keep.id").alias("root")).distinct()
 
 
 def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, **how) -> DataFrame:
-    """One document of each group of near duplicates, all columns unchanged.
-
-    Two documents are near duplicates where the Jaccard similarity of their sets of word 3-grams, estimated on
-    `COORDS` minwise tokens (standard error 0.03), reaches `threshold`; ASCII case and punctuation don't count, repeated
-    3-grams count once. Groups are connected components and the smallest id of each stays. A text of one or two words is one
-    shingle; a null or empty text, or one without words, is like no other and stays, as does a row without an id. Rows that repeat an id: if the id stays,
-    its first row by text and the other columns stays. An empty table gives an empty table; helper columns take free names.
+    """One row of each group of near duplicates, all columns unchanged.
+
+    Two texts are near duplicates where the Jaccard similarity of their sets of word 3-grams reaches `threshold`, as estimated on `COORDS` minwise
+    tokens of a byte each: the sets themselves aren't compared, so the estimate's standard error is 0.03, and pairs within two of it of the
+    threshold may fall on either side. A pair at the threshold is compared with probability `recall` (0.95) at least, whatever the number of documents. ASCII
+    case and punctuation don't count, repeated 3-grams count once, texts count whole however long. Groups are connected components, and the row with
+    the smallest id stays. Rows that share an id but not the text are texts of their own, each in its own group; where one id has several
+    texts in a group the one with the smallest hash stays, and of rows equal in id and text the first by the other columns. A text of one or two words is one
+    shingle; a null or empty text, or one without words, is like no other and stays, as does a row without an id. An empty table
+    gives an empty table; helper columns take free names.
     """
-    groups = cut(near_groups(df, text_col=text_col, id_col=id_col, threshold=threshold, **how))
-    ids = df.filter(quoted(id_col).isNotNull()).select(quoted(id_col).cast("bigint").alias("id"))
-    again = cut(ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
-    kept = drop_ids(df, groups.select("id"), id_col)
+    grouped = members(df, text_col, id_col, threshold, **how)
+    stays = (F.col("id") == F.col("keep.id")) & (F.col("th") == F.col("keep.th"))
+    losers, again = grouped.filter(~stays).select("id", "th"), grouped.filter(stays & (F.col("n") > 1)).select("id", "th")
+    keys = [quoted(id_col).cast("bigint"), F.xxhash64(quoted(text_col).cast("string"))]
+
+    def among(rows: DataFrame, these: DataFrame, how: str) -> DataFrame:
+        a, b = fresh(rows, "id", "th")
+        those = these.toDF(a, b)
+        return rows.join(those, (keys[0] == those[a]) & (keys[1] == those[b]), how)
+
+    passed, held = split_rows(df, keys, losers)
+    held = among(held, losers, "left_anti")
+    kept = held if passed is None else passed.unionByName(held)
     if again.isEmpty():
         return kept
-    n = fresh(df, "nth")[0]
-    key = quoted(id_col).cast("bigint")
-    first = Window.partitionBy(key).orderBy(*row_order(df, [text_col]))
-    once = kept.join(again, key == again["id"], "left_semi").withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(n)
-    return kept.join(again, key == again["id"], "left_anti").unionByName(once)
+    nth = fresh(df, "nth")[0]
+    first = Window.partitionBy(*keys).orderBy(*row_order(df, [text_col]))
+    passed, held = split_rows(kept, keys, again)
+    once = among(held, again, "left_semi").withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
+    rest = among(held, again, "left_anti").unionByName(once)
+    return rest if passed is None else passed.unionByName(rest)

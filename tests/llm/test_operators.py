@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.llm import bpe as bpe_mod
-from sedimenta.llm import chat, exact_dedup, licenses, lm_score, near_dedup, packing, quality, templates, topk, toxicity
+from sedimenta.llm import chat, common, exact_dedup, licenses, lm_score, near_dedup, packing, quality, templates, topk, toxicity
 from sedimenta.session import table
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("__hit", T.StringType()), T.StructField("keep", T.MapType(T.StringType(), T.IntegerType())), T.StructField("id", T.IntegerType())])
@@ -204,6 +204,46 @@ def test_large_nodes_branch_and_still_find_all(spark):
     assert {r.id for r in groups} == set(range(301, 420)) and {r.root for r in groups} == {300}
 
 
+def test_last_level_is_compared_in_blocks(spark):
+    rng = random.Random(4)
+    rows = []
+    for d in range(90):  # 30 groups of three, all with one passage so long that the nodes don't part
+        own = [f"g{d % 30}_{k}" for k in range(100)]
+        own[rng.randrange(100)] = f"e{d}"
+        rows.append((d, " ".join(f"s{k}" for k in range(70)) + " " + " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = near_dedup.near_groups(docs, small=7, depth=1, recall=0.999).collect()
+    assert {(r.id, r.root) for r in groups} == {(d, d % 30) for d in range(30, 90)}
+
+
+def test_one_id_with_two_texts_keeps_and_finds_both(spark):
+    rng = random.Random(5)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows, near = [], lambda t: " ".join(t[:40] + ["changed"] + t[41:])
+    for k in range(40):
+        a, b = text(), text()
+        rows += [(k, " ".join(a)), (k, " ".join(b)), (1000 + k, near(a)), (2000 + k, near(b))]
+    rows += [(3000, "one text for two rows of it"), (3000, "one text for two rows of it")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, near_dedup.near_dedup(docs).collect())) == Counter({**{(k, t): 1 for k, t in rows if k < 1000}, rows[-1]: 1})
+
+
+def test_trees_follow_the_recall():
+    few, many = near_dedup.trees_for(0.8, 0.55, 4), near_dedup.trees_for(0.99, 0.55, 4)
+    assert few < many < near_dedup.trees_for(0.99, 0.55, 12)
+    rng, met, t = random.Random(0), 0, 0.55
+    trees = near_dedup.trees_for(0.95, t, 3)
+    for _ in range(4000):  # the branching of a pair that agrees in `t` of its tokens
+        for _ in range(trees):
+            nodes = 1
+            for _ in range(3):
+                nodes = sum(rng.random() < t for _ in range(sum(1 + (rng.random() < 1 / t - 1) for _ in range(nodes))))
+            if nodes:
+                met += 1
+                break
+    assert met / 4000 > 0.94
+
+
 def test_link_joins_every_similar_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 256, (6, near_dedup.COORDS)).astype(np.uint8)
@@ -407,10 +447,18 @@ def test_repeated_hashes_are_never_missed():
     rng = np.random.default_rng(0)
     h = rng.integers(-(2**62), 2**62, 20_000)
     again = rng.choice(h, 700, replace=False)
-    got = exact_dedup._repeated(np.concatenate([h, again]), 16, batch=1000)
+    seen = exact_dedup.Repeats(21_000, 16)
+    for lo in range(0, 20_700, 1000):
+        seen.add(np.concatenate([h, again])[lo : lo + 1000])
+    got = seen.all()
     assert set(again) <= set(got) and len(got) < 700 + 200
 
 
+def test_slices_follow_the_rows(spark):
+    assert common.slices_for(spark, 10) == common.shuffle_partitions(spark)
+    assert common.slices_for(spark, 5 * 10**10) * common.SLICE_ROWS >= 5 * 10**10
+
+
 # ------------------------------------------------------------------ 6
 
 

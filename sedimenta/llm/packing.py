@@ -9,7 +9,6 @@ ones, largest first, into the tightest gap.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 from sedimenta.llm.common import cut, quoted
 
-SPREAD = 64  # groups that number pieces of one size side by side
+GROUP_ROWS = 1 << 18  # documents of one size, or with full pieces, that one group numbers
 
 
 def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -63,8 +62,6 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarr
             gaps[capacity - size - mate].append((bins, n))
             bins += n
 
-    open_gaps = sorted(g for g in gaps if g)
-    heapq.heapify(open_gaps)
     for size in sorted((s for s in left if left[s] and 3 * s <= capacity), reverse=True):
         ready = sorted(g for g in gaps if g >= size and gaps[g])
         for gap in ready:
@@ -108,7 +105,7 @@ def pack(df: DataFrame, capacity: int = 8192, text_col: str = "text", id_col: st
     capacity is cut into full pieces, each a bin of its own, and a rest that is packed like a document. Bins are
     numbered from 0 without holes; the parts of a bin don't overlap. A document without text (null, empty, size null
     or not positive) takes no room and gets no row. Rows that repeat are packed as often as they occur; a null id is
-    packed and stays null. Within one size, pieces are ordered by a hash group of the id, the id and the piece, so ties between
+    packed and stays null. Within one size, pieces are ordered by a hash group of id and size, the id and the piece, so ties between
     equal rows change nothing but their own places. An empty table gives an empty table; other columns aren't read.
     """
     if capacity < 1:
@@ -116,32 +113,36 @@ def pack(df: DataFrame, capacity: int = 8192, text_col: str = "text", id_col: st
     spark = df.sparkSession
     size = quoted(size_col).cast("bigint") if size_col else F.length(quoted(text_col)).cast("bigint")
     docs = df.select(quoted(id_col).cast("bigint").alias("doc_id"), size.alias("size")).filter(F.col("size") > 0)
-    docs = docs.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int"))
     cap = F.lit(capacity).cast("bigint")
-    docs = docs.select("doc_id", "spread", "size", F.floor(F.col("size") / cap).cast("bigint").alias("full"), (F.col("size") % cap).alias("rest"))
+    docs = docs.select("doc_id", "size", F.floor(F.col("size") / cap).cast("bigint").alias("full"), (F.col("size") % cap).alias("rest"))
     docs = cut(docs)  # four numbers a document: the texts are read once
 
-    # the histogram: at most capacity x SPREAD rows, and SPREAD more for the full pieces (size 0 here)
-    rests = docs.filter(F.col("rest") > 0).groupBy(F.col("rest").alias("s"), "spread").agg(F.count("*").alias("n"))
-    fulls = docs.filter(F.col("full") > 0).groupBy(F.lit(0).cast("bigint").alias("s"), "spread").agg(F.sum("full").alias("n"))
-    hist = rests.unionByName(fulls).toPandas()
-    hist = hist.sort_values(["s", "spread"], kind="stable").reset_index(drop=True)
-    hist["start"] = hist.groupby("s")["n"].cumsum() - hist["n"]
-    whole = hist[hist["s"] == 0]
-    rest = hist[hist["s"] > 0]
-    total = rest.groupby("s")["n"].sum()
-    rows, bins = plan(total.index.to_numpy(), total.to_numpy(), capacity)
+    # how many documents there are of each rest and with full pieces (size 0 here), at most `capacity` rows; as many groups number them as they need
+    rests = docs.filter(F.col("rest") > 0).groupBy(F.col("rest").alias("s")).agg(F.count("*").alias("n"))
+    sizes = rests.unionByName(docs.filter(F.col("full") > 0).agg(F.lit(0).cast("bigint").alias("s"), F.count("*").alias("n"))).toPandas().sort_values("s", ignore_index=True)
+    groups = np.zeros(capacity, np.int64)
+    groups[sizes["s"].to_numpy(np.int64)] = -(-sizes["n"].to_numpy(np.int64) // GROUP_ROWS)
+    base = np.concatenate([[0], np.cumsum(groups)])  # the groups of all sizes, one after another
+    of_size = F.broadcast(spark.createDataFrame([(int(k), int(groups[k]), int(base[k])) for k in np.flatnonzero(groups)], "s bigint, groups bigint, base bigint"))
+    grouped = lambda part, s: part.join(of_size, s == F.col("s")).withColumn("spread", F.col("base") + F.pmod(F.xxhash64("doc_id", "size"), "groups")).drop("s", "groups", "base")
+    rest_rows, full_rows = grouped(docs.filter(F.col("rest") > 0), F.col("rest")), grouped(docs.filter(F.col("full") > 0), F.lit(0).cast("bigint"))
+
+    hist = rest_rows.groupBy("spread").agg(F.count("*").alias("n")).unionByName(full_rows.groupBy("spread").agg(F.sum("full").alias("n"))).toPandas()
+    held = np.zeros(int(base[-1]), np.int64)
+    held[hist["spread"].to_numpy(np.int64)] = hist["n"].to_numpy(np.int64)
+    start = np.cumsum(held) - held
+    start -= np.repeat(start[np.minimum(base[:-1], max(0, len(held) - 1))] if len(held) else np.zeros(capacity, np.int64), groups)  # within each size
+    total = sizes[sizes["s"] > 0]
+    rows, bins = plan(total["s"].to_numpy(), total["n"].to_numpy(), capacity)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    start = np.zeros((capacity, SPREAD), np.int64)
-    start[rest["s"].to_numpy(np.int64), rest["spread"].to_numpy(np.int64)] = rest["start"].to_numpy(np.int64)
-    start[0, whole["spread"].to_numpy(np.int64)] = bins + whole["start"].to_numpy(np.int64)
+    start[: groups[0]] += bins
     shared = spark.sparkContext.broadcast((rows, start))
 
     @F.pandas_udf(T.StructType([T.StructField("bin_id", T.LongType()), T.StructField("bin_offset", T.LongType())]))
     def place(size: pd.Series, spread: pd.Series, number: pd.Series) -> pd.DataFrame:
         table, first = shared.value
         s, n = size.to_numpy(np.int64), number.to_numpy(np.int64) - 1
-        rank = first[s, spread.to_numpy(np.int64)] + n
+        rank = first[spread.to_numpy(np.int64)] + n
         bin_id, offset = rank.copy(), np.zeros(len(s), np.int64)  # full pieces: size 0, their rank is their bin
         few = np.flatnonzero(s > 0)
         if len(few):
@@ -156,18 +157,16 @@ def pack(df: DataFrame, capacity: int = 8192, text_col: str = "text", id_col: st
             offset[few] = t[:, 5] + nth % t[:, 4] * s[few]
         return pd.DataFrame({"bin_id": bin_id, "bin_offset": offset})
 
-    # rests: numbered within (size, group); full pieces: numbered within the group by running sums
-    by_size = Window.partitionBy("rest", "spread").orderBy(F.col("doc_id").asc_nulls_last(), "size")
+    # rests: numbered within the group; full pieces: numbered within the group by running sums
+    by_size = Window.partitionBy("spread").orderBy(F.col("doc_id").asc_nulls_last(), "size")
     packed = (
-        docs.filter(F.col("rest") > 0)
-        .withColumn("number", F.row_number().over(by_size).cast("bigint"))
+        rest_rows.withColumn("number", F.row_number().over(by_size).cast("bigint"))
         .withColumn("at", place(F.col("rest"), F.col("spread"), F.col("number")))
         .select("at.bin_id", "at.bin_offset", "doc_id", F.col("full").alias("piece"), (F.col("full") * cap).alias("start"), F.col("rest").alias("length"))
     )
     running = Window.partitionBy("spread").orderBy(F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     alone = (
-        docs.filter(F.col("full") > 0)
-        .withColumn("number", F.coalesce(F.sum("full").over(running), F.lit(0)) + 1)
+        full_rows.withColumn("number", F.coalesce(F.sum("full").over(running), F.lit(0)) + 1)
         .select("doc_id", "spread", "number", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
         .withColumn("at", place(F.lit(0).cast("bigint"), F.col("spread"), F.col("number") + F.col("piece")))
         .select("at.bin_id", "at.bin_offset", "doc_id", "piece", (F.col("piece") * cap).alias("start"), cap.alias("length"))

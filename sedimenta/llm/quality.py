@@ -138,9 +138,10 @@ def chains(first: np.ndarray, most: int = 1 << 18):
         lo = hi
 
 
-def forward_backward(good: np.ndarray, mask: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of "good" (rows x lines), log partition sums, and expected transitions summed over the rows (2 x 2).
+def forward_backward(good: np.ndarray, mask: np.ndarray, transition: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of "good" (rows x lines), log partition sums, and expected transitions summed over the rows by their weights (2 x 2).
     `good` is each line's score for "good" against "bad"."""
+    weight = np.ones(len(good)) if weight is None else weight
     r, n = good.shape
     unary = np.stack([np.zeros_like(good), good], axis=2)
     fwd = np.empty((r, n, 2))
@@ -150,16 +151,32 @@ def forward_backward(good: np.ndarray, mask: np.ndarray, transition: np.ndarray)
         fwd[:, t] = np.where(mask[:, t, None], step, fwd[:, t - 1])
     logz = _lse(fwd[:, -1])
     bwd = np.zeros((r, n, 2))
-    pairs = np.zeros((2, 2))
+    pairs = np.zeros(4)
     for t in range(n - 2, -1, -1):
         nxt = unary[:, t + 1] + bwd[:, t + 1]
         step = _lse(transition + nxt[:, None, :])
         live = mask[:, t + 1]
         bwd[:, t] = np.where(live[:, None], step, 0.0)
         joint = np.exp(fwd[:, t, :, None] + transition + nxt[:, None, :] - logz[:, None, None])
-        pairs += joint[live].sum(axis=0)
+        pairs += weight[live] @ joint[live].reshape(-1, 4) if live.any() else 0.0
     marginal = np.exp(fwd + bwd - logz[:, None, None])[:, :, 1]
-    return np.where(mask, marginal, 0.0), logz, pairs
+    return np.where(mask, marginal, 0.0), logz, pairs.reshape(2, 2)
+
+
+def objective(w: np.ndarray, tr: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray, doc_weight: np.ndarray, ridge: float, groups: list | None = None) -> tuple[float, np.ndarray]:
+    """The weighted negative log-likelihood of chains whose lines all have their document's label, with a ridge, and its gradient."""
+    good, n = x @ w, np.diff(first)
+    loss, residual, grad_tr = 0.0, np.zeros(len(x)), np.zeros((2, 2))
+    for rows, at, mask in chains(first) if groups is None else groups:
+        m, logz, pairs = forward_backward(good[at], mask, tr, doc_weight[rows])
+        residual[at[mask]] = m[mask]
+        label, steps = y[rows], doc_weight[rows] * (n[rows] - 1)
+        seen = np.diag([steps[label == 0].sum(), steps[label == 1].sum()])
+        grad_tr += pairs - seen
+        loss += doc_weight[rows] @ (logz - label * np.where(mask, good[at], 0.0).sum(axis=1)) - (seen * tr).sum()
+    by_line = np.repeat(doc_weight, n)
+    grad = x.T @ ((residual - np.repeat(y, n)) * by_line) + ridge * w
+    return loss + ridge / 2 * ((w**2).sum() + (tr**2).sum()), np.concatenate([grad, (grad_tr + ridge * tr).ravel()])
 
 
 def train(features: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS, ridge: float = 1e-3) -> Crf:
@@ -167,27 +184,13 @@ def train(features: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = S
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
     mean[-1], scale[-1] = 0.0, 1.0
     x = np.clip((features - mean) / scale, -8, 8)
-    n = np.diff(first)
     share = np.array([max(1, (y == c).sum()) for c in (0, 1)])
-    doc_weight = 1 / (np.maximum(n, 1) * share[y] * 2)
-    line_weight, label = np.repeat(doc_weight, n), np.repeat(y, n).astype(float)
+    doc_weight = 1 / (np.maximum(np.diff(first), 1) * share[y] * 2)
     w, tr = np.zeros(x.shape[1]), np.zeros((2, 2))
     state = [np.zeros(x.shape[1] + 4) for _ in range(2)]
     groups = list(chains(first))
     for step in range(1, steps + 1):
-        good, residual, grad_tr = x @ w, np.zeros(len(x)), np.zeros((2, 2))
-        for rows, at, mask in groups:
-            # rows of one weight at a time would be exact; within a group the numbers of lines are alike
-            for c in (0, 1):
-                own = y[rows] == c
-                if own.any():
-                    m, _, pairs = forward_backward(good[at[own]], mask[own], tr)
-                    residual[at[own][mask[own]]] = m[mask[own]]
-                    mean_weight = doc_weight[rows[own]].mean()
-                    seen = np.zeros((2, 2))
-                    seen[c, c] = (n[rows[own]] - 1).sum()
-                    grad_tr += (pairs - seen) * mean_weight
-        grad = np.concatenate([x.T @ ((residual - label) * line_weight) + ridge * w, (grad_tr + ridge * tr).ravel()])
+        grad = objective(w, tr, x, first, y, doc_weight, ridge, groups)[1]
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-9)

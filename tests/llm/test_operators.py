@@ -527,6 +527,15 @@ def test_packing_documents(spark, sf01):
     assert bins == len(naive_bins(rest, 8192)) + sum(n // 8192 for n in lengths.values())
 
 
+def test_packing_in_many_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 3)
+    rng = random.Random(7)
+    lengths = {k: rng.choice([1, 5, 20, 33, 34, 60, 100, 101, 350, 1000]) for k in range(400)}
+    docs = spark.createDataFrame([(k, "x" * n) for k, n in lengths.items()], "doc_id bigint, text string")
+    bins = check_packing(packing.pack(docs, 100).collect(), lengths, 100)
+    assert bins == len(naive_bins([n % 100 for n in lengths.values() if n % 100], 100)) + sum(n // 100 for n in lengths.values())
+
+
 def test_packing_on_odd_rows(spark):
     docs = odd_docs(spark)
     out = packing.pack(docs, 50).collect()
@@ -553,6 +562,69 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(m[0], marg / total) and np.isclose(logz[0], np.log(total)) and np.allclose(pairs, pair / total)
 
 
+def test_training_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    n = np.array([1, 2, 3, 5, 8, 8])
+    first, y = np.concatenate([[0], np.cumsum(n)]), np.array([0, 1, 0, 1, 1, 0])
+    x, weight = rng.normal(size=(n.sum(), 4)), rng.random(6)
+    theta = rng.normal(size=8)
+
+    def loss(theta):  # by enumeration of all labellings
+        total = 0.0
+        for k in range(6):
+            good, tr = x[first[k] : first[k + 1]] @ theta[:4], theta[4:].reshape(2, 2)
+            score = lambda ys: sum(good[t] for t in range(n[k]) if ys[t]) + sum(tr[a, b] for a, b in zip(ys, ys[1:]))  # noqa: B023, E731
+            total += weight[k] * (np.log(sum(np.exp(score(ys)) for ys in itertools.product((0, 1), repeat=int(n[k])))) - score([y[k]] * n[k]))
+        return total + 0.05 * (theta**2).sum()
+
+    got, grad = quality.objective(theta[:4], theta[4:].reshape(2, 2), x, first, y, weight, 0.1)
+    assert np.isclose(got, loss(theta))
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-5
+        assert np.isclose(grad[k], (loss(theta + step) - loss(theta - step)) / 2e-5, atol=1e-6)
+
+
+def naive_line_features(text):
+    """What `line_features` says of each line that isn't blank, one character and word at a time."""
+    import re
+
+    rows, lengths = [], []
+    for line in text.split("\n"):
+        raw = line.encode()
+        if not line.strip(" \t\r\f\v"):
+            continue
+        of = lambda chars: sum(b in chars for b in raw) / len(raw)  # noqa: B023, E731
+        own = [sum(97 <= b <= 122 or b >= 128 for b in raw) / len(raw), of(range(65, 91)), of(range(48, 58)), of(b" \t\r\f\v"), of(b"#$%&*@^~+=<>\\{}[]_/`"), of(b".,;:?'\"()-"), of(b"!"), of(b"|")]
+        ws = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+        own += [np.log1p(len(raw)) / 5, sum(map(len, ws)) / max(1, len(ws)) / 10]
+        own += [sum(a == b for a, b in zip(ws, ws[lag:])) / max(1, len(ws)) for lag in (1, 2, 3)]
+        own += [len(set(ws)) / len(ws) if ws else (1.0 if not re.search(rb"[0-9A-Za-z\x80-\xff]", text.encode()) else 0.0), np.log1p(len(ws)) / 5]
+        rows.append(own)
+        lengths.append(len(raw))
+    zero = [0.0] * len(rows[0]) if rows else []
+    return [[*r, *(rows[k - 1] if k else zero), *(rows[k + 1] if k + 1 < len(rows) else zero), float(k > 0), float(k + 1 < len(rows)), 1.0] for k, r in enumerate(rows)], lengths
+
+
+def test_quality_query_equals_brute_force(spark, sf):
+    """Features by hand and every labelling enumerated, under the field that the query trains."""
+    docs, truth = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.fit(docs, truth)
+    got = {r.doc_id: r.quality for r in quality.quality(docs, truth).collect()}
+    tested = 0
+    for r in docs.collect():
+        features, lengths = naive_line_features(r.text)
+        if not 0 < len(features) <= 9:
+            continue
+        good = np.clip((np.array(features) - model.mean) / model.scale, -8, 8) @ model.weights
+        z, marginal = 0.0, np.zeros(len(good))
+        for ys in itertools.product((0, 1), repeat=len(good)):
+            w = np.exp(sum(g for g, a in zip(good, ys) if a) + sum(model.transition[a, b] for a, b in zip(ys, ys[1:])))
+            z, marginal = z + w, marginal + w * np.array(ys)
+        assert np.isclose(got[r.doc_id], (marginal / z * lengths).sum() / sum(lengths), atol=1e-6), r.doc_id
+        tested += 1
+    assert tested > 50
+
+
 def test_padding_changes_nothing():
     rng = np.random.default_rng(4)
     good, tr = rng.normal(size=(1, 4)), rng.normal(size=(2, 2))

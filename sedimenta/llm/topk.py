@@ -1,9 +1,9 @@
 """Exact nearest neighbours of every vector by pivot-table elimination.
 
 The distances of all vectors to many pivots are computed once. By the triangle inequality the largest difference between two
-vectors' pivot distances is a lower bound of their own distance. Vectors lie in groups ordered by their nearest pivot; a search first
-looks through the query's own group, then through the groups, and within them the candidates, whose bound is below the k-th best
-distance so far, in the order of the bounds, and stops when none is left.
+vectors' pivot distances is a lower bound of their own distance. Vectors lie in groups: those with one nearest pivot, cut by their distance
+to it. A query first searches its own group; it goes on only to the groups whose bound is below its own k-th best distance so far. There it evaluates
+candidates in the order of their bounds, and stops when the next bound is above that distance.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from sedimenta.llm.common import cut, quoted
 
 PIVOTS = 48
 GROUP = 8192
-SLACK = 1e-6  # float32 pivot distances and the matrix form of distances are inexact; bounds give way by so much
+PLACES = 9  # distances are rounded to so many places
+TIE = 1.01 * 10.0**-PLACES  # distances closer than this may be equal once rounded
 
 
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -33,64 +34,123 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean, by the matrix form: good to about 1e-7 of the vectors' lengths."""
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0))
+    """Euclidean, from the differences: good to a few units in the last place whatever the vectors' lengths."""
+    out = np.empty((len(a), len(b)))
+    for k, v in enumerate(b):
+        out[:, k] = np.linalg.norm(a - v, axis=1)
+    return out
 
 
-def search(q: np.ndarray, qid: np.ndarray, qp: np.ndarray, tau: np.ndarray, x: np.ndarray, xid: np.ndarray, xp: np.ndarray, k: int, batch: int = 256, step: int = 512):
+def given_way(tau: np.ndarray, reach: float) -> np.ndarray:
+    """`tau` and what rounding may hide: a tie at the last place, and errors of float64 distances up to `reach`."""
+    return tau + TIE + 1e-13 * (reach + np.where(np.isfinite(tau), tau, 0.0))
+
+
+class Tile:
+    """Candidates that many queries search: their vectors, and their pivot distances as shares of `reach` in single precision."""
+
+    def __init__(self, x: np.ndarray, xid: np.ndarray, xp: np.ndarray, reach: float) -> None:
+        self.x, self.ids, self.reach = x, xid, reach
+        self.p = np.ascontiguousarray((xp / reach).astype(np.float32).T)
+        self.square = (x * x).sum(axis=1)
+
+    def bounds(self, qp: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Lower bounds (queries x candidates) of the distances, as shares of `reach`. Pivots are added while they still rule candidates out."""
+        q = (qp / self.reach).astype(np.float32)
+        out = np.zeros((len(q), self.p.shape[1]), np.float32)
+        part = np.empty_like(out)
+        left = out.size
+        for k in range(len(self.p)):
+            np.subtract(q[:, k, None], self.p[k], out=part)
+            np.abs(part, out=part)
+            np.maximum(out, part, out=out)
+            if k % 12 == 11 and k + 1 < len(self.p):
+                now = int((out <= limit[:, None]).sum())
+                if now > 0.97 * left or not now:
+                    break
+                left = now
+        return out
+
+
+ULP = np.float32(4 * 2.0**-24)  # by which a single-precision bound may be too high, as a share of `reach`
+
+
+def search(q: np.ndarray, qid: np.ndarray, qp: np.ndarray, tau: np.ndarray, x: np.ndarray, xid: np.ndarray, xp: np.ndarray, k: int, batch: int = 64, step: int = 64):
     """The k best candidates of each query that may lie within its `tau`: (query row, candidate row, distance), and how
-    many pairs were evaluated. Equal ids aren't neighbours."""
+    many pairs were evaluated. Equal ids aren't neighbours. Each query takes candidates in the order of their bounds, in growing steps."""
     out_q, out_x, out_d, evaluated = [], [], [], 0
-    scale = max(1.0, float(np.abs(x).max(initial=0.0)) * x.shape[1])
-    slack = SLACK * scale
+    reach = max(float(np.abs(qp).max(initial=0.0)), float(np.abs(xp).max(initial=0.0)), 1e-300)
+    tile, n = Tile(x, xid, xp, reach), len(x)
+    length = float(np.sqrt(max(tile.square.max(initial=0.0), (q * q).sum(axis=1).max(initial=0.0))))
+    loose = 8 * (x.shape[1] + 4) * 2.0**-52 * length**2  # error of a squared distance in matrix form
     for lo in range(0, len(q), batch):
-        rows = slice(lo, min(len(q), lo + batch))
-        t = tau[rows].copy()
-        bound = np.zeros((rows.stop - lo, len(x)), np.float32)
-        for p in range(qp.shape[1]):
-            np.maximum(bound, np.abs(qp[rows, p, None] - xp[None, :, p]), out=bound)
-        bound -= slack
-        order = np.argsort(bound.min(axis=0), kind="stable")
-        best_d, best_x = np.full((rows.stop - lo, 0), np.inf), np.zeros((rows.stop - lo, 0), np.int64)
-        for c in range(0, len(order), step):
-            cols = order[c : c + step]
-            alive = np.flatnonzero((bound[:, cols] <= t[:, None]).any(axis=1))
+        rows = np.arange(lo, min(len(q), lo + batch))
+        t = tau[rows].astype(float)  # the k-th best distance so far
+        limit = lambda: (given_way(t, reach) / reach + ULP).astype(np.float32)  # noqa: B023, E731
+        bound = tile.bounds(qp[rows], limit())
+        if np.isin(qid[rows], xid).any():
+            bound[qid[rows][:, None] == xid] = np.nan  # below no limit, last in every order
+        best_d, best_x = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1, np.int64)
+
+        def merge(at: np.ndarray, cols: np.ndarray, d: np.ndarray) -> None:
+            """Takes in candidates (rows `at` of the batch x cols) with their exact distances, infinite where there is none."""
+            all_d, all_x = np.concatenate([best_d[at], d], axis=1), np.concatenate([best_x[at], cols], axis=1)
+            order = np.lexsort((np.where(all_x < 0, 1 << 62, xid[all_x]), all_d), axis=1)[:, :k]
+            best_d[at], best_x[at] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_x, order, 1)
+            t[at] = np.minimum(t[at], best_d[at, -1])
+
+        alive, size = np.arange(len(rows)), step
+        while True:
+            open_ = bound[alive] <= limit()[alive, None]
+            left = open_.sum(axis=1)
+            alive, open_, left = alive[left > 0], open_[left > 0], left[left > 0]
             if not len(alive):
-                if c and (bound[:, order[c:]].min(axis=1) > t).all():
-                    break
+                break
+            if int(left.max()) > size and size < n and size <= 8 * step:  # the next lowest bounds of each query
+                cols = np.argpartition(bound[alive], size - 1, axis=1)[:, :size]
+                d = np.round(np.sqrt(((x[cols] - q[rows[alive]][:, None, :]) ** 2).sum(axis=2)), PLACES)
+                d[~(np.take_along_axis(bound[alive], cols, 1) <= limit()[alive, None])] = np.inf
+                evaluated += d.size
+                merge(alive, np.where(np.isfinite(d), cols, -1), d)
+                bound[alive[:, None], cols] = np.nan
+                size *= 8
                 continue
-            d = distances(q[rows][alive], x[cols])
-            evaluated += d.size
-            d[qid[rows][alive][:, None] == xid[cols]] = np.inf
-            grown_d = np.full((len(best_d), len(cols)), np.inf)
-            grown_d[alive] = d
-            best_d = np.concatenate([best_d, grown_d], axis=1)
-            best_x = np.concatenate([best_x, np.broadcast_to(cols, grown_d.shape)], axis=1)
-            if best_d.shape[1] > k:  # the k best and whatever can't be told from the k-th
-                kth = np.partition(best_d, k - 1, axis=1)[:, k - 1]
-                width = int((best_d <= (kth + slack)[:, None]).sum(axis=1).max())
-                if width < best_d.shape[1]:
-                    at = np.argpartition(best_d, width - 1, axis=1)[:, :width]
-                    best_d, best_x = np.take_along_axis(best_d, at, 1), np.take_along_axis(best_x, at, 1)
-                t = np.minimum(t, kth + slack)
-        near = (best_d <= (t + slack)[:, None]) & np.isfinite(best_d)
-        r, c = np.nonzero(near)
-        if len(r):
-            exact = np.sqrt(((q[rows][r] - x[best_x[r, c]]) ** 2).sum(axis=1))
-            out_q.append(lo + r)
-            out_x.append(best_x[r, c])
-            out_d.append(np.round(exact, 9))
+            # whatever bounds leave: squared distances in matrix form, exact ones where these may be within reach
+            some = np.flatnonzero(open_.any(axis=0)) if open_.sum() < 0.5 * open_.size else np.arange(n)
+            square = tile.square[some] - 2 * (q[rows[alive]] @ x[some].T) + (q[rows[alive]] ** 2).sum(axis=1)[:, None]
+            evaluated += square.size
+            square[~open_[:, some]] = np.inf
+            if len(some) > k:
+                kth = np.partition(square, k - 1, axis=1)[:, k - 1]
+                t_here = np.minimum(t[alive], np.sqrt(np.maximum(kth, 0) + loose))
+            else:
+                t_here = t[alive]
+            near = square <= (given_way(t_here, reach) ** 2 + loose)[:, None]
+            r, c = np.nonzero(near & np.isfinite(square))
+            width = int(np.bincount(r, minlength=1).max(initial=0))
+            if width:
+                cols, d = np.full((len(alive), width), -1, np.int64), np.full((len(alive), width), np.inf)
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                cols[r, nth] = some[c]
+                for a in range(0, len(r), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    d[r[part], nth[part]] = np.round(np.sqrt(((x[some[c[part]]] - q[rows[alive[r[part]]]]) ** 2).sum(axis=1)), PLACES)
+                merge(alive, cols, d)
+            break
+        r, c = np.nonzero((best_x >= 0) & (best_d <= given_way(tau[rows], reach)[:, None]))
+        out_q.append(rows[r])
+        out_x.append(best_x[r, c])
+        out_d.append(best_d[r, c])
     if not out_q:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), evaluated
-    r, c, d = np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_d)
-    order = np.lexsort((xid[c], d, r))
-    r, c, d = r[order], c[order], d[order]
-    nth = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[nth < k], c[nth < k], d[nth < k], evaluated
+    return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_d), evaluated
 
 
-def _matrix(column, dtype=np.float64) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1) if len(column) else np.zeros((0, 1), dtype)
+def _matrix(column) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(flat, pa.ChunkedArray):
+        flat = pa.concat_arrays(flat.chunks)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
 def _by_key(batches):
@@ -114,10 +174,11 @@ def _by_key(batches):
 def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, group: int = GROUP) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance): the k nearest other vectors of every vector, Euclidean, exact.
 
-    Distances are rounded to 9 places; equal ones go to the smaller id. A row takes part, as query and as candidate, if it has an id and
-    a vector of the commonest length without null or NaN or infinite elements (of equally common lengths the largest); other rows get no result. Rows that
-    repeat an id count once, with the smallest vector. With fewer than k others all are returned. An empty table gives an empty
-    table; further columns aren't read, so their names don't matter.
+    Distances are computed from the differences of the vectors in float64, whatever their magnitude, and rounded to 9 places; equal ones go to the smaller
+    id. A row takes part, as query and as candidate, if it has an id and a vector of the commonest length without null or NaN or infinite elements (of
+    equally common lengths the largest); other rows get no result. Rows that repeat an id count once, with the smallest vector. With fewer than
+    k others all are returned. An empty table gives an empty table; further columns aren't read, so their names don't matter. Squared distances
+    must not overflow float64 (elements up to about 1e150).
     """
     spark = vectors.sparkSession
     rows = vectors.select(quoted(id_col).cast("bigint").alias("id"), quoted(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
@@ -133,23 +194,27 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     def pivot_table(batches):
         for batch in batches:
             if batch.num_rows:
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                d = distances(v, shared.value)
-                home = d.argmin(axis=1)
-                p = d.astype(np.float32)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "v": pa.array([r.tobytes() for r in v], pa.binary()), "p": pa.array([r.tobytes() for r in p], pa.binary()), "home": pa.array(home.astype(np.int32)), "far": pa.array(d.min(axis=1))})
-
-    table = cut(rows.mapInArrow(pivot_table, "id bigint, v binary, p binary, home int, far double"))
-    sizes = sorted((r[0], r[1]) for r in table.groupBy("home").agg(F.count("*")).collect())  # at most one row a pivot
-    starts = np.cumsum([0] + [n for _, n in sizes])[:-1]
-    offset = F.create_map(*[x for (h, _), s in zip(sizes, starts) for x in (F.lit(h), F.lit(int(s)))])
-    place = offset[F.col("home")] + F.row_number().over(Window.partitionBy("home").orderBy("far", "id")) - 1
-    table = cut(table.select(F.floor(place / group).cast("int").alias("g"), "id", "v", "p"))
-
-    def ranges(batches):
-        for t in _by_key(batches):
-            p = _matrix(t.column("p"), np.float32)
-            yield pa.RecordBatch.from_pydict({"g": pa.array([t.column(0)[0].as_py()], pa.int32()), "lo": pa.array([p.min(axis=0).tolist()], pa.list_(pa.float32())), "hi": pa.array([p.max(axis=0).tolist()], pa.list_(pa.float32()))})
+                d = distances(_matrix(batch.column(1)), shared.value)
+                p = pa.ListArray.from_arrays(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32), d.ravel())
+                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "v": batch.column(1), "p": p, "home": pa.array(d.argmin(axis=1).astype(np.int32)), "far": pa.array(d.min(axis=1))})
+
+    table = cut(rows.mapInArrow(pivot_table, "id bigint, v array<double>, p array<double>, home int, far double"))
+    # the vectors of one nearest pivot are cut at quantiles of their distance to it; those that still are too many, at equal distances say, by a hash
+    sizes = {r[0]: r[1] for r in table.groupBy("home").agg(F.count("*")).collect()}  # at most one row a pivot
+    most = max(2, -(-max(sizes.values()) // group))
+    shares = [F.lit(j / most) for j in range(1, most)]
+    edges = F.broadcast(table.groupBy("home").agg(F.percentile_approx("far", F.array(*shares), F.lit(100 * most)).alias("edges"), F.count("*").alias("m")))
+    step = F.ceil(F.lit(float(most)) / F.ceil(F.col("m") / group)).cast("int")  # a home with fewer vectors takes every step-th edge
+    ring = F.floor(F.aggregate("edges", F.lit(0), lambda n, e: n + (e < F.col("far")).cast("int")) / step).cast("int")
+    table = table.join(edges, "home").select("home", ring.alias("ring"), "id", "v", "p")
+    held = table.groupBy("home", "ring").agg(F.count("*").alias("m")).collect()  # about one row a group
+    first, at = [], 0
+    for h, r, m in sorted(tuple(x) for x in held):
+        first.append((h, r, at, -(-m // (group + group // 2))))
+        at += first[-1][3]
+    places = spark.createDataFrame(first, "home int, ring int, first int, parts int")
+    groups = at
+    table = cut(table.join(places, ["home", "ring"]).select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("g"), "id", "v", "p").repartition(min(groups, 1 << 20), "g"))
 
     found_schema = "q bigint, x bigint, d double"
 
@@ -158,36 +223,51 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
 
     def at_home(batches):
         for t in _by_key(batches):
-            ids, v, p = t.column("id").to_numpy(), _matrix(t.column("v")), _matrix(t.column("p"), np.float32)
+            ids, v, p = t.column("id").to_numpy(), _matrix(t.column("v")), _matrix(t.column("p"))
             r, c, d, _ = search(v, ids, p, np.full(len(ids), np.inf), v, ids, p, k)
             yield found(ids, ids, r, c, d)
 
-    grouped = table.repartition("g").sortWithinPartitions("g")
-    bounds = cut(grouped.select("g", "p").mapInArrow(ranges, "g int, lo array<float>, hi array<float>"))
-    home = cut(grouped.select("g", "id", "v", "p").mapInArrow(at_home, found_schema))
+    bounds = cut(table.select("g", F.posexplode("p").alias("k", "x")).groupBy("g", "k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "lo", "hi"))).alias("b")).select("g", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi")))
+    home = cut(table.sortWithinPartitions("g").mapInArrow(at_home, found_schema))
     # the k-th best so far; infinite where the own group has fewer than k others
     tau = home.groupBy("q").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("tau"))
     queries = cut(table.join(tau, table["id"] == tau["q"], "left").select("g", "id", "v", "p", F.coalesce("tau", F.lit(float("inf"))).alias("tau")))
     worst = queries.groupBy("g").agg(F.max("tau").alias("worst"))
 
-    # pairs of groups whose bound, the largest gap between their ranges at any pivot, lies below the worst tau
+    # pairs of groups whose bound, the largest gap between their ranges at any pivot, lies below the worst tau; then the queries whose own tau and
+    # pivot distances pass. What rounding may hide gives way as in `search`.
+    def passes(gap, limit, reach):
+        return gap <= limit + TIE + 1e-12 * (limit + reach)
+
+    def at_most(*lists):
+        return F.greatest(*[F.array_max(x) for x in lists])
+
     a, b = bounds.join(worst, "g").select(F.col("g").alias("qg"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), "worst"), bounds.select(F.col("g").alias("xg"), "lo", "hi")
     gap = F.array_max(F.zip_with(F.zip_with("qlo", "hi", lambda x, y: x - y), F.zip_with("lo", "qhi", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
-    groups = bounds.count()
-    pairs = cut(a.crossJoin(b).filter((F.col("qg") != F.col("xg")) & (gap <= F.col("worst") + 1e-3)).select("qg", "xg", (F.col("qg").cast("bigint") * groups + F.col("xg")).alias("pair")))
-    sides = pairs.join(queries, F.col("qg") == F.col("g")).select("pair", F.lit(0).alias("side"), "id", "v", "p", "tau").unionByName(
-        pairs.join(table, F.col("xg") == F.col("g")).select("pair", F.lit(1).alias("side"), "id", "v", "p", F.lit(0.0).alias("tau"))
-    )
+    pairs = cut(a.crossJoin(b).filter((F.col("qg") != F.col("xg")) & passes(gap, F.col("worst"), at_most("qhi", "hi"))).select("qg", "xg", "lo", "hi"))
+    own = F.array_max(F.zip_with(F.zip_with("lo", "p", lambda x, y: x - y), F.zip_with("p", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
+    going = pairs.join(queries, F.col("qg") == F.col("g")).filter(passes(own, F.col("tau"), at_most("p", "hi")))
+    # the queries of a group come in chunks of about as many as it has candidates; each chunk meets the candidates once
+    chunks = going.groupBy("xg").agg(F.ceil(F.count("*") / group).cast("int").alias("chunks"))
+    chunks = cut(chunks.withColumn("lane", F.sum("chunks").over(Window.orderBy("xg").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["lane"]))
+    lanes = chunks.agg(F.sum("chunks")).first()[0]
+    if not lanes:
+        searched = home
+    else:
+        wide = lambda t: t.select((F.col("lane") + F.col("part")).cast("int").alias("key"), "side", "id", "v", "p", "tau")
+        come = wide(going.join(chunks, "xg").withColumn("part", F.pmod(F.xxhash64("id"), "chunks")).withColumn("side", F.lit(0)))
+        stay = wide(table.join(chunks, table["g"] == chunks["xg"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1)).withColumn("tau", F.lit(0.0)))
 
-    def elsewhere(batches):
-        for t in _by_key(batches):
-            side = t.column("side").to_numpy()
-            ids, v, p, tau_of = t.column("id").to_numpy(), _matrix(t.column("v")), _matrix(t.column("p"), np.float32), t.column("tau").to_numpy()
-            q, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            r, c, d, _ = search(v[q], ids[q], p[q], tau_of[q], v[x], ids[x], p[x], k)
-            yield found(ids[q], ids[x], r, c, d)
+        def elsewhere(batches):
+            for t in _by_key(batches):
+                side = t.column("side").to_numpy()
+                ids, v, p, tau_of = t.column("id").to_numpy(), _matrix(t.column("v")), _matrix(t.column("p")), t.column("tau").to_numpy()
+                q, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                r, c, d, _ = search(v[q], ids[q], p[q], tau_of[q], v[x], ids[x], p[x], k)
+                yield found(ids[q], ids[x], r, c, d)
 
-    away = sides.repartition("pair").sortWithinPartitions("pair").mapInArrow(elsewhere, found_schema)
+        away = come.unionByName(stay).repartition(min(2 * int(lanes), 1 << 20), "key").sortWithinPartitions("key").mapInArrow(elsewhere, found_schema)
+        searched = home.unionByName(away)
     order = Window.partitionBy("q").orderBy("d", "x")
-    ranked = home.unionByName(away).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = searched.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("vec_id"), "rank", F.col("x").alias("neighbour_id"), F.col("d").alias("distance"))

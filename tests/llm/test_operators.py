@@ -749,12 +749,36 @@ def test_search_leaves_candidates_out():
     rng = np.random.default_rng(2)
     x = np.concatenate([c + 0.01 * rng.normal(size=(300, 8)) for c in rng.normal(size=(10, 8)) * 3])
     pivots = topk.choose_pivots(x[::7], 12)
-    p = topk.distances(x, pivots).astype(np.float32)
+    p = topk.distances(x, pivots)
     ids = np.arange(len(x))
     *_, evaluated = topk.search(x, ids, p, np.full(len(x), np.inf), x, ids, p, 5)
     assert evaluated < 0.5 * len(x) ** 2
 
 
+@pytest.mark.parametrize("magnitude", [1e-6, 1e-3, 1e5, 1e7, 1e9])
+def test_topk_is_exact_at_every_magnitude(spark, magnitude):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(7, 10))
+    x = (centres[rng.integers(0, 7, 2000)] + 0.05 * rng.normal(size=(2000, 10))) * magnitude
+    x[1000:] = rng.normal(size=(1000, 10)) * magnitude  # half of them far from all others
+    x[50:60] = x[50]
+    df = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(topk.nearest(df, 5, group=100).collect(), key=lambda r: r["rank"]):
+        got[r.vec_id].append((r.neighbour_id, r.distance))
+    want = brute(dict(enumerate(x)), 5)
+    wrong = [i for i in want if not np.allclose([d for _, d in got[i]], [d for _, d in want[i]], rtol=1e-12, atol=1.01e-9)]
+    assert not wrong and set(got) == set(want)
+    if magnitude <= 1e5:  # beyond, rounded ties depend on the order of sums
+        assert sum([j for j, _ in got[i]] != [j for j, _ in want[i]] for i in want) == 0
+
+
+def test_topk_of_one_place_is_cut_by_a_hash(spark):
+    df = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(300)] + [(300, [5.0, 5.0])], "vec_id bigint, embedding array<double>")
+    got = sorted((r.vec_id, r["rank"], r.neighbour_id) for r in topk.nearest(df, 2, group=20).collect())
+    assert got == sorted((q, k + 1, n) for q in range(301) for k, n in enumerate([n for n in range(3) if n != q][:2]))
+
+
 def test_topk_on_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [0.0, 1.0]), (4, [nan, 1.0]), (5, [1.0]), (6, []), (7, [None, 1.0]), (8, [3.0, 0.0]), (9, [float("inf"), 0.0])]

@@ -49,10 +49,11 @@ def given_way(tau: np.ndarray, reach: float) -> np.ndarray:
 class Tile:
     """Candidates that many queries search: their vectors, and their pivot distances as shares of `reach` in single precision."""
 
-    def __init__(self, x: np.ndarray, xid: np.ndarray, xp: np.ndarray, reach: float) -> None:
-        self.x, self.ids, self.reach = x, xid, reach
+    def __init__(self, x: np.ndarray, xp: np.ndarray, reach: float) -> None:
+        self.reach = reach
         self.p = np.ascontiguousarray((xp / reach).astype(np.float32).T)
         self.square = (x * x).sum(axis=1)
+        self.form = np.concatenate([-2 * x.T, self.square[None], np.ones((1, len(x)))])  # (q, 1, |q|^2) times this: squared distances
 
     def bounds(self, qp: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Lower bounds (queries x candidates) of the distances, as shares of `reach`. Pivots are added while they still rule candidates out."""
@@ -64,8 +65,8 @@ class Tile:
             np.subtract(q[:, k, None], self.p[k], out=part)
             np.abs(part, out=part)
             np.maximum(out, part, out=out)
-            if k % 12 == 11 and k + 1 < len(self.p):
-                now = int((out <= limit[:, None]).sum())
+            if k % 12 == 11 and k + 1 < len(self.p) and np.isfinite(limit).all():
+                now = np.count_nonzero(out <= limit[:, None])
                 if now > 0.97 * left or not now:
                     break
                 left = now
@@ -73,70 +74,77 @@ class Tile:
 
 
 ULP = np.float32(4 * 2.0**-24)  # by which a single-precision bound may be too high, as a share of `reach`
+FEW = 16  # a query whose bounds leave less than one in so many candidates takes them in order; else the rest is evaluated at once
 
 
-def search(q: np.ndarray, qid: np.ndarray, qp: np.ndarray, tau: np.ndarray, x: np.ndarray, xid: np.ndarray, xp: np.ndarray, k: int, batch: int = 64, step: int = 64):
+def search(q: np.ndarray, qid: np.ndarray, qp: np.ndarray, tau: np.ndarray, x: np.ndarray, xid: np.ndarray, xp: np.ndarray, k: int, batch: int = 32, step: int = 32):
     """The k best candidates of each query that may lie within its `tau`: (query row, candidate row, distance), and how
-    many pairs were evaluated. Equal ids aren't neighbours. Each query takes candidates in the order of their bounds, in growing steps."""
+    many pairs were evaluated. Equal ids aren't neighbours. A query without a k-th best distance evaluates the candidates of lowest bounds first. Then
+    it takes those below that distance in the order of their bounds, in growing steps, until the next bound is above it; where the bounds rule
+    hardly anything out, what is left is evaluated at once."""
     out_q, out_x, out_d, evaluated = [], [], [], 0
     reach = max(float(np.abs(qp).max(initial=0.0)), float(np.abs(xp).max(initial=0.0)), 1e-300)
-    tile, n = Tile(x, xid, xp, reach), len(x)
+    tile, n = Tile(x, xp, reach), len(x)
     length = float(np.sqrt(max(tile.square.max(initial=0.0), (q * q).sum(axis=1).max(initial=0.0))))
     loose = 8 * (x.shape[1] + 4) * 2.0**-52 * length**2  # error of a squared distance in matrix form
-    for lo in range(0, len(q), batch):
+    size = min(n, max(step, 2 * k))
+    for lo in range(0, len(q) if n else 0, batch):
         rows = np.arange(lo, min(len(q), lo + batch))
         t = tau[rows].astype(float)  # the k-th best distance so far
-        limit = lambda: (given_way(t, reach) / reach + ULP).astype(np.float32)  # noqa: B023, E731
-        bound = tile.bounds(qp[rows], limit())
+        bound = tile.bounds(qp[rows], (given_way(t, reach) / reach + ULP).astype(np.float32))
         if np.isin(qid[rows], xid).any():
             bound[qid[rows][:, None] == xid] = np.nan  # below no limit, last in every order
         best_d, best_x = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1, np.int64)
 
-        def merge(at: np.ndarray, cols: np.ndarray, d: np.ndarray) -> None:
-            """Takes in candidates (rows `at` of the batch x cols) with their exact distances, infinite where there is none."""
-            all_d, all_x = np.concatenate([best_d[at], d], axis=1), np.concatenate([best_x[at], cols], axis=1)
+        def take(r: np.ndarray, c: np.ndarray) -> None:
+            """Evaluates pairs of rows of the batch and candidates, ordered by row."""
+            if not len(r):
+                return
+            nth = np.arange(len(r)) - np.searchsorted(r, r)
+            width = int(nth.max()) + 1
+            cols, d = np.full((len(rows), width), -1, np.int64), np.full((len(rows), width), np.inf)
+            cols[r, nth] = c
+            for a in range(0, len(r), 1 << 13):
+                part = slice(a, a + (1 << 13))
+                gap = x[c[part]] - q[rows[r[part]]]
+                d[r[part], nth[part]] = np.round(np.sqrt((gap * gap).sum(axis=1)), PLACES)
+            all_d, all_x = np.concatenate([best_d, d], axis=1), np.concatenate([best_x, cols], axis=1)
             order = np.lexsort((np.where(all_x < 0, 1 << 62, xid[all_x]), all_d), axis=1)[:, :k]
-            best_d[at], best_x[at] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_x, order, 1)
-            t[at] = np.minimum(t[at], best_d[at, -1])
-
-        alive, size = np.arange(len(rows)), step
-        while True:
-            open_ = bound[alive] <= limit()[alive, None]
-            left = open_.sum(axis=1)
-            alive, open_, left = alive[left > 0], open_[left > 0], left[left > 0]
-            if not len(alive):
-                break
-            if int(left.max()) > size and size < n and size <= 8 * step:  # the next lowest bounds of each query
-                cols = np.argpartition(bound[alive], size - 1, axis=1)[:, :size]
-                d = np.round(np.sqrt(((x[cols] - q[rows[alive]][:, None, :]) ** 2).sum(axis=2)), PLACES)
-                d[~(np.take_along_axis(bound[alive], cols, 1) <= limit()[alive, None])] = np.inf
-                evaluated += d.size
-                merge(alive, np.where(np.isfinite(d), cols, -1), d)
-                bound[alive[:, None], cols] = np.nan
-                size *= 8
-                continue
-            # whatever bounds leave: squared distances in matrix form, exact ones where these may be within reach
-            some = np.flatnonzero(open_.any(axis=0)) if open_.sum() < 0.5 * open_.size else np.arange(n)
-            square = tile.square[some] - 2 * (q[rows[alive]] @ x[some].T) + (q[rows[alive]] ** 2).sum(axis=1)[:, None]
+            best_d[:], best_x[:] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_x, order, 1)
+            np.minimum(t, best_d[:, -1], out=t)
+
+        limit = lambda: (given_way(t, reach) / reach + ULP).astype(np.float32)  # noqa: B023, E731
+        if len(new := np.flatnonzero(np.isinf(t))):
+            cols = np.sort(np.argpartition(bound[new], size - 1, axis=1)[:, :size], axis=1)
+            there = ~np.isnan(np.take_along_axis(bound[new], cols, 1))
+            evaluated += int(there.sum())
+            take(np.repeat(new, there.sum(axis=1)), cols[there])
+            bound[new[:, None], cols] = np.nan
+        open_ = bound <= limit()[:, None]
+        left = np.count_nonzero(open_, axis=1)
+        few, many = np.flatnonzero((left > 0) & (left * FEW <= n)), np.flatnonzero(left * FEW > n)
+        if len(few):
+            r, c = np.nonzero(open_[few])
+            r, b = few[r], bound[few[r], c]
+            order = np.lexsort((b, r))
+            r, c, b = r[order], c[order], b[order]
+            nth, begin, width = np.arange(len(r)) - np.searchsorted(r, r), 0, size
+            while begin <= nth.max():
+                now = (nth >= begin) & (nth < begin + width) & (b <= limit()[r])
+                if not now.any():
+                    break
+                evaluated += int(now.sum())
+                take(r[now], c[now])
+                begin, width = begin + width, 4 * width
+        if len(many):
+            mine = q[rows[many]]
+            square = np.concatenate([mine, np.ones((len(many), 1)), (mine * mine).sum(axis=1)[:, None]], axis=1) @ tile.form
             evaluated += square.size
-            square[~open_[:, some]] = np.inf
-            if len(some) > k:
-                kth = np.partition(square, k - 1, axis=1)[:, k - 1]
-                t_here = np.minimum(t[alive], np.sqrt(np.maximum(kth, 0) + loose))
-            else:
-                t_here = t[alive]
-            near = square <= (given_way(t_here, reach) ** 2 + loose)[:, None]
-            r, c = np.nonzero(near & np.isfinite(square))
-            width = int(np.bincount(r, minlength=1).max(initial=0))
-            if width:
-                cols, d = np.full((len(alive), width), -1, np.int64), np.full((len(alive), width), np.inf)
-                nth = np.arange(len(r)) - np.searchsorted(r, r)
-                cols[r, nth] = some[c]
-                for a in range(0, len(r), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    d[r[part], nth[part]] = np.round(np.sqrt(((x[some[c[part]]] - q[rows[alive[r[part]]]]) ** 2).sum(axis=1)), PLACES)
-                merge(alive, cols, d)
-            break
+            if n > k + 1:  # one of the k + 1 nearest may be the query itself
+                t[many] = np.minimum(t[many], np.sqrt(np.maximum(np.partition(square, k, axis=1)[:, k], 0) + loose))
+            r, c = np.nonzero(square <= (given_way(t[many], reach) ** 2 + loose)[:, None])
+            ok = open_[many[r], c]
+            take(many[r[ok]], c[ok])
         r, c = np.nonzero((best_x >= 0) & (best_d <= given_way(tau[rows], reach)[:, None]))
         out_q.append(rows[r])
         out_x.append(best_x[r, c])
@@ -208,12 +216,17 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     ring = F.floor(F.aggregate("edges", F.lit(0), lambda n, e: n + (e < F.col("far")).cast("int")) / step).cast("int")
     table = table.join(edges, "home").select("home", ring.alias("ring"), "id", "v", "p")
     held = table.groupBy("home", "ring").agg(F.count("*").alias("m")).collect()  # about one row a group
-    first, at = [], 0
-    for h, r, m in sorted(tuple(x) for x in held):
-        first.append((h, r, at, -(-m // (group + group // 2))))
-        at += first[-1][3]
+    first, at, room = [], -1, 0
+    for h, r, m in sorted(tuple(x) for x in held):  # small ones share a group
+        parts = -(-m // (group + group // 2))
+        if m > room:
+            at, room = at + 1, group + group // 4
+        first.append((h, r, at, parts))
+        room -= m
+        if parts > 1:
+            at, room = at + parts - 1, 0
     places = spark.createDataFrame(first, "home int, ring int, first int, parts int")
-    groups = at
+    groups = at + 1
     table = cut(table.join(places, ["home", "ring"]).select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("g"), "id", "v", "p").repartition(min(groups, 1 << 20), "g"))
 
     found_schema = "q bigint, x bigint, d double"
@@ -227,8 +240,14 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
             r, c, d, _ = search(v, ids, p, np.full(len(ids), np.inf), v, ids, p, k)
             yield found(ids, ids, r, c, d)
 
-    bounds = cut(table.select("g", F.posexplode("p").alias("k", "x")).groupBy("g", "k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "lo", "hi"))).alias("b")).select("g", F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi")))
-    home = cut(table.sortWithinPartitions("g").mapInArrow(at_home, found_schema))
+    def ranges(batches):
+        for t in _by_key(batches):
+            p = _matrix(t.column("p"))
+            yield pa.RecordBatch.from_pydict({"g": pa.array([t.column(0)[0].as_py()], pa.int32()), "lo": pa.array([p.min(axis=0).tolist()]), "hi": pa.array([p.max(axis=0).tolist()])})
+
+    table = table.sortWithinPartitions("g")
+    bounds = cut(table.select("g", "p").mapInArrow(ranges, "g int, lo array<double>, hi array<double>"))
+    home = cut(table.mapInArrow(at_home, found_schema))
     # the k-th best so far; infinite where the own group has fewer than k others
     tau = home.groupBy("q").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("tau"))
     queries = cut(table.join(tau, table["id"] == tau["q"], "left").select("g", "id", "v", "p", F.coalesce("tau", F.lit(float("inf"))).alias("tau")))

@@ -1,9 +1,10 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Tokens are the bytes of a text. A network sees the two bytes on either side of a masked one and predicts it: position-wise
-embeddings, one tanh layer, softmax over 256 bytes. It is trained in numpy on the counts of all 5-byte windows of the whole
-corpus: the counts are gathered by a shuffle, shards of them train in parallel and their parameters are averaged, round by round.
-A document's score is the sum of the log-probabilities of all its bytes, each given both sides.
+Tokens are words and runs of punctuation, ASCII case folded, as hashes of `TOKEN_BITS` bits; the first `CLASS_BITS` of them are the token's class. A network
+sees the three tokens on either side of a masked one and predicts its class: an embedding for each place and hashed token, one tanh layer, a softmax
+in two levels. Within its class a token has its share of the corpus, counted over all documents. Every window of every document trains the
+network once: in each round the partitions train on their part of the documents where these lie, and their changes are averaged, each embedding by
+how often a partition saw it. A document's score is the sum of the log-probabilities of all its tokens, each given both sides.
 """
 
 from __future__ import annotations
@@ -15,222 +16,309 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import cut, quoted
-from sedimenta.llm.textkit import spans, string_buffers
+from sedimenta.llm.common import quoted
+from sedimenta.llm.textkit import _LOWER, _WORD, run_hashes, spans, string_buffers
 
-HIDDEN = 40
-SHARD = 1 << 17  # windows that one task trains on
+HIDDEN = 16
 ROUNDS = 3
-EPOCHS = 2
-BATCH = 2048
-RATE = 0.01
-SIDES = (2, 1, -1, -2)  # how far left of the masked byte
-
-
-def windows(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A code for each byte: context (four bytes, 0 beyond the text's ends) above the byte itself."""
-    n = len(data)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    begin, end = offs[row], offs[row + 1]
-    at = np.arange(n)
-    padded = np.concatenate([[0, 0], data, [0, 0]]).astype(np.uint64)
-    code = np.zeros(n, np.uint64)
-    for back in SIDES:
-        inside = (at - back >= begin) & (at - back < end)
-        code = (code << np.uint64(8)) | np.where(inside, padded[2 - back : 2 - back + n], np.uint64(0))
-    return (code << np.uint64(8)) | data
+BATCH = 16384
+RATE = 0.08
+SIDES = (3, 2, 1, -1, -2, -3)  # how far left of the masked token
+PLACE_BITS = 13  # context tokens are told apart by so many bits of their hash
+CLASS_BITS = 8
+TOKEN_BITS = 22
+LEAST = 0.01  # what is added to the count of every token
+PLACES, CLASSES, TOKENS, LEVEL = 1 << PLACE_BITS, 1 << CLASS_BITS, 1 << TOKEN_BITS, 1 << CLASS_BITS // 2
+INSIDE = TOKENS // CLASSES
+BLOCK = 1024  # rows of parameters that travel together
+
+_KIND = np.where(_WORD, 1, 2).astype(np.uint8)  # 0 space, 1 word, 2 punctuation
+_KIND[:33] = 0
+_KIND[127] = 0
+
+
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all rows as hashes of `TOKEN_BITS` bits, and the first of each row (and the total)."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    kind = np.take(_KIND, data)
+    edge = np.empty(len(data) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    edge[offs] = edge[0] = edge[-1] = True
+    starts = np.flatnonzero(edge)
+    starts, ends = starts[:-1], starts[1:]
+    keep = kind[starts] > 0
+    starts, ends = starts[keep], ends[keep]
+    return (run_hashes(np.take(_LOWER, data), starts, ends) >> np.uint64(64 - TOKEN_BITS)).astype(np.int64), np.searchsorted(starts, offs)
+
+
+def contexts(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Tokens x `SIDES`: rows of the embedding table of each token's context; beyond the text's ends stands the place's hash 0."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    begin, end = first[row], first[row + 1]
+    at, place = np.arange(len(token)), (token >> (TOKEN_BITS - PLACE_BITS)).astype(np.int32)
+    out = np.empty((len(token), len(SIDES)), np.uint16)
+    for k, back in enumerate(SIDES):
+        other = at - back
+        inside = (other >= begin) & (other < end)
+        out[:, k] = np.where(inside, place[np.clip(other, 0, max(0, len(token) - 1))], 0) + k * PLACES
+    return out
 
 
 @dataclass
 class Network:
-    embed: np.ndarray  # 4 x 256 x H
+    embed: np.ndarray  # (places x PLACES) x H
     hidden: np.ndarray  # H
-    out: np.ndarray  # H x 256
-    bias: np.ndarray  # 256
+    upper: np.ndarray  # H x LEVEL, scores of the first half of a class
+    upper_bias: np.ndarray
+    lower: np.ndarray  # LEVEL x H x LEVEL, scores of the second half given the first
+    lower_bias: np.ndarray
 
     @classmethod
-    def fresh(cls, byte_counts: np.ndarray, hidden: int = HIDDEN, seed: int = 7) -> Network:
+    def fresh(cls, class_counts: np.ndarray, hidden: int = HIDDEN, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
-        p = np.log((byte_counts + 0.5) / (byte_counts.sum() + 128))
-        return cls(rng.normal(0, 0.3, (4, 256, hidden)).astype(np.float32), np.zeros(hidden, np.float32), rng.normal(0, 0.1, (hidden, 256)).astype(np.float32), p.astype(np.float32))
+        n = class_counts.reshape(LEVEL, LEVEL) + 0.5
+        draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
+        return cls(draw(0.1, len(SIDES) * PLACES, hidden), np.zeros(hidden, np.float32), draw(0.1, hidden, LEVEL), np.log(n.sum(axis=1) / n.sum()).astype(np.float32), draw(0.1, LEVEL, hidden, LEVEL), np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.embed, self.hidden, self.out, self.bias)])
+    def parts(self) -> list[np.ndarray]:
+        return [self.embed, self.hidden, self.upper, self.upper_bias, self.lower, self.lower_bias]
 
-    @classmethod
-    def of(cls, flat: np.ndarray) -> Network:
-        h = (len(flat) - 256) // (4 * 256 + 1 + 256)
-        cuts = np.cumsum([4 * 256 * h, h, h * 256])
-        e, b, o, c = np.split(flat.astype(np.float32), cuts)
-        return cls(e.reshape(4, 256, h).copy(), b.copy(), o.reshape(h, 256).copy(), c.copy())
+    def copy(self) -> Network:
+        return Network(*[p.copy() for p in self.parts()])
 
     def layer(self, context: np.ndarray) -> np.ndarray:
-        """Hidden activations of contexts (uint32: four bytes)."""
-        z = np.broadcast_to(self.hidden, (len(context), len(self.hidden))).copy()
-        for k in range(4):
-            z += self.embed[k, (context >> (24 - 8 * k)) & 0xFF]
-        return np.tanh(z)
-
-    def log_probs(self, context: np.ndarray) -> np.ndarray:
-        x = self.layer(context) @ self.out + self.bias
-        x -= x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def train_shard(net: Network, codes: np.ndarray, counts: np.ndarray, epochs: int, rate: float, seed: int) -> Network:
-    """Adam over the windows, each weighted by its count."""
-    rng = np.random.default_rng(seed)
-    params = [net.embed.copy(), net.hidden.copy(), net.out.copy(), net.bias.copy()]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    context, target = (codes >> np.uint64(8)).astype(np.int64), (codes & np.uint64(0xFF)).astype(np.int64)
-    weight = counts / counts.mean()
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(codes))
-        for lo in range(0, len(order), BATCH):
-            part = order[lo : lo + BATCH]
-            c, t, w = context[part], target[part], (weight[part] / max(1e-9, weight[part].sum())).astype(np.float32)
-            now = Network(*params)
-            h = now.layer(c)
-            x = h @ now.out + now.bias
-            x -= x.max(axis=1, keepdims=True)
-            np.exp(x, out=x)
-            x /= x.sum(axis=1, keepdims=True)
-            x[np.arange(len(t)), t] -= 1
-            x *= w[:, None]
-            back = (x @ now.out.T) * (1 - h * h)
-            grad_embed = np.zeros_like(params[0])
-            for k in range(4):
-                byte = (c >> (24 - 8 * k)) & 0xFF
-                order_k = np.argsort(byte, kind="stable")
-                edges = np.flatnonzero(np.diff(byte[order_k], prepend=-1))
-                grad_embed[k, byte[order_k][edges]] = np.add.reduceat(back[order_k], edges, axis=0)
-            step += 1
-            for k, g in enumerate((grad_embed, back.sum(axis=0), h.T @ x, x.sum(axis=0))):
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.995 * second[k] + 0.005 * g * g
-                params[k] = params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.995**step)) + 1e-8)
-    return Network(*[p.astype(np.float32) for p in params])
-
-
-def _count_windows(batches):
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def merged():
-        codes = np.concatenate([c for c, _ in held])
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], np.concatenate([n for _, n in held])[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        return codes[first], np.add.reduceat(n, first)
-
-    def rows(codes, n):
-        return pa.RecordBatch.from_pydict({"code": pa.array(codes.view(np.int64)), "n": pa.array(n)})
-
-    for batch in batches:
-        data, offs = string_buffers(batch.column(0))
-        for lo, hi in spans(offs):
-            if offs[hi] > offs[lo]:
-                codes, n = np.unique(windows(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), return_counts=True)
-                held.append((codes, n.astype(np.int64)))
-                size += len(codes)
-                if size > 1 << 21:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > 1 << 20:
-                        yield rows(*held.pop())
-                        size = 0
-    if held:
-        yield rows(*merged())
-
-
-def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(code, n): how often each 5-byte window occurs in all texts."""
-    return docs.select(quoted(text_col)).mapInArrow(_count_windows, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def train(counts: DataFrame, rounds: int = ROUNDS, hidden: int = HIDDEN) -> Network | None:
-    """The network after so many rounds of parallel training and averaging; None if there are no windows. The number
-    of shards follows the number of windows; parameters are averaged on executors first, so the driver gets a few sets."""
-    spark = counts.sparkSession
-    size = counts.count()
-    if not size:
-        return None
-    shards = max(1, -(-size // SHARD))
-    by_byte = {r[0]: r[1] for r in counts.groupBy((F.col("code").bitwiseAND(255)).alias("b")).agg(F.sum("n")).collect()}
-    net = Network.fresh(np.array([by_byte.get(b, 0) for b in range(256)], float), hidden)
-    shard = F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")
-    groups = max(1, min(8, shards))
-    parts = counts.select(shard.alias("shard"), "code", "n").repartition(shards, "shard")
-    for k in range(rounds):
-        start, rate = spark.sparkContext.broadcast(net.flat()), RATE / (1 + k)
-
-        def learn(batches, start=start, rate=rate, k=k):
-            tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-            if not tables:
-                return
-            t = pa.concat_tables(tables)
-            all_shards = t.column(0).to_numpy()
-            for s in np.unique(all_shards):
-                mine = np.flatnonzero(all_shards == s)
-                codes, n = t.column(1).to_numpy()[mine].view(np.uint64), t.column(2).to_numpy()[mine].astype(np.float64)
-                order = np.argsort(codes)
-                got = train_shard(Network.of(start.value), codes[order], n[order], EPOCHS, rate, 1000 * k + int(s)).flat()
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([int(s)], pa.int32()), "weight": pa.array([float(n.sum())]), "p": pa.array([got.tobytes()], pa.binary())})
+        z = np.take(self.embed, context[:, 0], axis=0, mode="clip")
+        held = np.empty_like(z)
+        for k in range(1, context.shape[1]):
+            z += np.take(self.embed, context[:, k], axis=0, out=held, mode="clip")
+        z += self.hidden
+        return np.tanh(z, out=z)
+
+    def levels(self, h: np.ndarray, edges: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(scores, their exponentials, sums of these) of both levels for rows sorted by the first half of their class; edges[g] is the first
+        row of half g."""
+        a = h @ self.upper
+        a += self.upper_bias
+        b = np.empty((len(h), LEVEL), h.dtype)
+        for g in np.flatnonzero(np.diff(edges)):
+            rows = slice(edges[g], edges[g + 1])
+            np.matmul(h[rows], self.lower[g], out=b[rows])
+            b[rows] += self.lower_bias[g]
+        out = []
+        for x in (a, b):
+            if not np.abs(x).max(initial=0) < 60:
+                x -= x.max(axis=1, keepdims=True)
+            e = np.exp(x)
+            out.append((x, e, e @ np.ones(LEVEL, x.dtype)))
+        return out
+
+    def log_prob(self, context: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        """Log-probability of each row's class given its context."""
+        out = np.empty(len(klass))
+        for lo in range(0, len(klass), BATCH):
+            c = klass[lo : lo + BATCH]
+            order = np.argsort(c, kind="stable")
+            mine = c[order]
+            top, low = mine // LEVEL, mine % LEVEL
+            (a, _, za), (b, _, zb) = self.levels(self.layer(context[lo : lo + BATCH][order]), np.searchsorted(top, np.arange(LEVEL + 1)))
+            at = np.arange(len(mine))
+            out[lo + order] = a[at, top] + b[at, low] - np.log(za) - np.log(zb)
+        return out
+
+    def gradient(self, context: np.ndarray, klass: np.ndarray) -> tuple[float, list]:
+        """Mean negative log-probability of a batch and its gradient: (rows, values, occurrences) for the embeddings, then one array a parameter."""
+        order = np.argsort(klass, kind="stable")
+        context, klass = context[order], klass[order]
+        top, low, at, n = klass // LEVEL, klass % LEVEL, np.arange(len(klass)), len(klass)
+        edges = np.searchsorted(top, np.arange(LEVEL + 1))
+        h = self.layer(context)
+        (a, ea, za), (b, eb, zb) = self.levels(h, edges)
+        loss = float((np.log(za) + np.log(zb) - a[at, top] - b[at, low]).sum()) / n
+        for e, z, y in ((ea, za, top), (eb, zb, low)):
+            e *= (1 / (n * z))[:, None]
+            e[at, y] -= e.dtype.type(1 / n)
+        back = ea @ self.upper.T
+        lower, lower_bias = np.zeros_like(self.lower), np.zeros_like(self.lower_bias)
+        for g in np.flatnonzero(np.diff(edges)):
+            rows = slice(edges[g], edges[g + 1])
+            back[rows] += eb[rows] @ self.lower[g].T
+            lower[g] = h[rows].T @ eb[rows]
+            lower_bias[g] = eb[rows].sum(axis=0)
+        back *= 1 - h * h
+        flat = context.ravel()
+        by = np.argsort(flat, kind="stable")
+        sorted_ = flat[by]
+        last = np.flatnonzero(np.concatenate([sorted_[1:] != sorted_[:-1], [True]]))
+        run = np.cumsum(np.take(back.astype(np.float64), by // context.shape[1], axis=0), axis=0)[last]
+        total = np.diff(run, axis=0, prepend=0)
+        seen = np.diff(last, prepend=-1)
+        return loss, [(sorted_[last], total.astype(h.dtype), seen), back.sum(axis=0), h.T @ ea, ea.sum(axis=0), lower, lower_bias]
+
+
+class Trainer:
+    """Adagrad over batches of windows, one accumulator a row of embeddings."""
+
+    def __init__(self, net: Network, rate: float) -> None:
+        self.net, self.rate = net.copy(), rate
+        self.row_sum = np.full(len(net.embed), 1e-8, np.float32)
+        self.sums = [np.full_like(p, 1e-8) for p in self.net.parts()[1:]]
+        self.seen = np.zeros(len(net.embed), np.float32)
+        self.windows = 0
+
+    def learn(self, context: np.ndarray, klass: np.ndarray) -> float:
+        loss, ((rows, g, seen), *rest) = self.net.gradient(context, klass)
+        self.row_sum[rows] += (g * g).mean(axis=1)
+        self.net.embed[rows] -= self.rate * g / np.sqrt(self.row_sum[rows])[:, None]
+        for p, s, d in zip(self.net.parts()[1:], self.sums, rest):
+            s += d * d
+            p -= self.rate / 4 * d / np.sqrt(s)
+        self.seen[rows] += seen
+        self.windows += len(klass)
+        return loss
+
+    def changes(self, start: Network):
+        """(part, weights of its rows, changes of its rows) of all parameters, in half precision."""
+        yield from blocks([new - old for new, old in zip(self.net.parts(), start.parts())], self.seen, self.windows)
+
+
+def blocks(parts: list[np.ndarray], seen: np.ndarray, windows: float):
+    for lo in range(0, len(parts[0]), BLOCK):
+        yield lo // BLOCK, seen[lo : lo + BLOCK], parts[0][lo : lo + BLOCK].astype(np.float16).ravel()
+    rest = np.concatenate([p.ravel() for p in parts[1:]])
+    yield -(-len(parts[0]) // BLOCK), np.array([windows], np.float32), rest.astype(np.float16)
+
+
+def moved(net: Network, changes: dict[int, np.ndarray]) -> Network:
+    """The network with averaged changes applied."""
+    out = net.copy()
+    end = -(-len(net.embed) // BLOCK)
+    for k, values in changes.items():
+        if k < end:
+            out.embed[k * BLOCK : (k + 1) * BLOCK] += values.reshape(-1, net.embed.shape[1])
+        else:
+            at = 0
+            for p in out.parts()[1:]:
+                p += values.ravel()[at : at + p.size].reshape(p.shape)
+                at += p.size
+    return out
+
+
+def _each(column):
+    """(tokens, first token of each row) of spans of a text column, with the rows they come from."""
+    data, offs = string_buffers(column)
+    for lo, hi in spans(offs):
+        yield lo, hi, *tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+
+
+def gather(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How often each of the `TOKENS` hashes occurs in all texts: summed by shuffles; the driver gets dense blocks, the same number for any corpus."""
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, _, token, _ in _each(batch.column(0)):
+                held.append(token)
+                size += len(token)
+                if size > 1 << 22:
+                    yield rows(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield rows(np.concatenate(held))
+
+    def rows(token):
+        t, n = np.unique(token, return_counts=True)
+        return pa.RecordBatch.from_pydict({"token": pa.array(t.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+
+    def dense(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            t, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(t // (1 << 16)):
+                own = t // (1 << 16) == k
+                total.setdefault(int(k), np.zeros(1 << 16, np.int64))[t[own] % (1 << 16)] = n[own]
+        for k, n in total.items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n": pa.array([n.tobytes()], pa.binary())})
+
+    counted = docs.select(quoted(text_col)).mapInArrow(count, "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    out = np.zeros(TOKENS, np.int64)
+    for k, n in counted.repartition(min(64, TOKENS >> 16), F.shiftright("token", 16)).mapInArrow(dense, "k int, n binary").collect():
+        out[k << 16 : (k + 1) << 16] = np.frombuffer(n, np.int64)
+    return out
+
+
+def inside_class(counts: np.ndarray) -> np.ndarray:
+    """Log-share of each token in its class."""
+    n = counts.reshape(CLASSES, INSIDE) + LEAST
+    return np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32).ravel()
+
+
+def train(docs: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, text_col: str = "text", rate: float = RATE) -> Network:
+    """The network after every document has trained it, in one of the rounds by its text's hash."""
+    spark, net = docs.sparkSession, Network.fresh(counts.reshape(CLASSES, INSIDE).sum(axis=1))
+    text = quoted(text_col)
+    for r in range(rounds):
+        start = spark.sparkContext.broadcast(net)
+
+        def learn(batches, start=start, r=r):
+            trainer, rng = Trainer(start.value, rate / (1 + r) ** 0.5), np.random.default_rng(r)
+            for batch in batches:
+                for _, _, token, first in _each(batch.column(0)):
+                    context, klass = contexts(token, first), (token >> (TOKEN_BITS - CLASS_BITS)).astype(np.int16)
+                    order = rng.permutation(len(token))
+                    for lo in range(0, len(order), BATCH):
+                        trainer.learn(context[order[lo : lo + BATCH]], klass[order[lo : lo + BATCH]])
+            if trainer.windows:
+                k, w, v = zip(*trainer.changes(start.value))
+                yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "w": pa.array([x.tobytes() for x in w], pa.binary()), "v": pa.array([x.tobytes() for x in v], pa.binary())})
 
         def average(batches):
-            rows = sorted((s, w, p) for b in batches for s, w, p in zip(*(c.to_pylist() for c in b.columns)))
-            if rows:
-                total = sum(w for _, w, _ in rows)
-                mean = sum(np.frombuffer(p, np.float32) * (w / total) for _, w, p in rows).astype(np.float32)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([rows[0][0]], pa.int32()), "weight": pa.array([total]), "p": pa.array([mean.tobytes()], pa.binary())})
-
-        schema = "shard int, weight double, p binary"
-        learnt = parts.mapInArrow(learn, schema).repartition(groups, F.col("shard") % groups).mapInArrow(average, schema).collect()
-        learnt.sort()
-        total = sum(r[1] for r in learnt)
-        net = Network.of(sum(np.frombuffer(r[2], np.float32) * (r[1] / total) for r in learnt).astype(np.float32))
+            total: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for k, w, v in zip(*(c.to_pylist() for c in batch.columns)):
+                    w = np.frombuffer(w, np.float32).astype(float)
+                    v = np.frombuffer(v, np.float16).astype(float).reshape(len(w), -1)
+                    held = total.setdefault(k, [np.zeros_like(w), np.zeros_like(v)])
+                    held[0] += w
+                    held[1] += w[:, None] * v
+            for k, (w, v) in sorted(total.items()):
+                mean = (v / np.maximum(w, 1e-9)[:, None]).astype(np.float32)
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([mean.tobytes()], pa.binary())})
+
+        part = docs.filter(F.pmod(F.xxhash64(text), F.lit(rounds)) == r).select(text)
+        changed = part.mapInArrow(learn, "k int, w binary, v binary").repartition(16, "k").mapInArrow(average, "k int, v binary")
+        net = moved(net, {k: np.frombuffer(v, np.float32) for k, v in changed.collect()})
         start.unpersist()
     return net
 
 
-def row_scores(net: Network, data: np.ndarray, offs: np.ndarray, block: int = 8192) -> np.ndarray:
-    """Sum of log-probabilities of the bytes of each row."""
-    codes = windows(data, offs)
-    code, inverse = np.unique(codes, return_inverse=True)
-    context = (code >> np.uint64(8)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(code) else np.zeros(0, np.int64)
-    which = np.cumsum(np.concatenate([[0], (context[1:] != context[:-1]).astype(np.int64)])) if len(code) else first
-    target = (code & np.uint64(0xFF)).astype(np.int64)
-    value = np.empty(len(code))
-    for lo in range(0, len(first), block):
-        hi = min(len(first), lo + block)
-        a, b = first[lo], first[hi] if hi < len(first) else len(code)
-        value[a:b] = net.log_probs(context[first[lo:hi]])[which[a:b] - lo, target[a:b]]
-    total = np.concatenate([[0], np.cumsum(value[inverse])])
-    return total[offs[1:]] - total[offs[:-1]]
+def row_scores(net: Network, inside: np.ndarray, token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of log-probabilities of the tokens of each row."""
+    value = net.log_prob(contexts(token, first), (token >> (TOKEN_BITS - CLASS_BITS)).astype(np.int16)) + inside[token]
+    total = np.concatenate([[0], np.cumsum(value)])
+    return total[first[1:]] - total[first[:-1]]
 
 
 def lm_score(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_prob) of every row of `docs`.
 
-    The network is trained on all of `docs`. Tokens are the UTF-8 bytes of the whole text. A null or empty text has 0 tokens, log-likelihood
-    0 and mean null. Each row is scored on its own, so repeated rows and null ids give as many rows (and repeated texts count as often in the training). An
-    empty table gives an empty table; further columns aren't read, so their names don't matter.
+    The network is trained on all of `docs`. Tokens are the words and runs of punctuation of the whole text, however long. A text without any, a null, empty or blank
+    one, has 0 tokens, log-likelihood 0 and mean null. Each row is scored on its own, so repeated rows and null ids give as many rows (and repeated
+    texts count as often in the training). Tokens are known by a hash of 22 bits, so different words may count as one. An empty table gives an
+    empty table; further columns aren't read, so their names don't matter.
     """
-    docs = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    net = train(cut(gather(docs)), rounds)
-    shared = docs.sparkSession.sparkContext.broadcast(None if net is None else net.flat())
+    docs = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    counts = gather(docs)
+    net = train(docs, counts, rounds) if counts.any() else Network.fresh(np.zeros(CLASSES))
+    shared = docs.sparkSession.sparkContext.broadcast((net, inside_class(counts)))
 
     def run(batches):
-        model = None if shared.value is None else Network.of(shared.value)
+        model, inside = shared.value
         for batch in batches:
-            data, offs = string_buffers(batch.column(1))
-            out = np.zeros(len(offs) - 1)
-            for lo, hi in spans(offs):
-                if offs[hi] > offs[lo]:
-                    out[lo:hi] = row_scores(model, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            n = np.diff(offs)
+            out, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for lo, hi, token, first in _each(batch.column(1)):
+                if len(token):
+                    out[lo:hi], n[lo:hi] = row_scores(model, inside, token, first), np.diff(first)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(out), pa.array(out / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -30,9 +30,10 @@ def snapshots(entries: DataFrame, edges: DataFrame, depth: int = 20) -> DataFram
     return out.select("commit_id", roots["root"], "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "depth")
 
 
-def change_events(snaps: DataFrame, born: bool = True) -> DataFrame:
+def change_events(snaps: DataFrame, born: bool = True, unchanged: bool = False) -> DataFrame:
     """(feature_id, commit_id, event_type, before, after, ratio) of snapshots(feature_id, commit_id, nodes, edges, depth, file): each against the
-    one before. One window over the feature gives all kinds; the events of a row are exploded from an array, not joined."""
+    one before. One window over the feature gives all kinds; the events of a row are exploded from an array, not joined. With `unchanged` a snapshot
+    with no other event has one that says so."""
     w = Window.partitionBy("feature_id").orderBy("commit_id")
     s = snaps.select("*", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("commit_id", "nodes", "edges", "depth", "file")])
     had = F.col("p_commit_id").isNotNull()
@@ -59,7 +60,10 @@ def change_events(snaps: DataFrame, born: bool = True) -> DataFrame:
         events.append(event("TEST_ADDED", had & (F.col("tests") > F.col("p_tests")), F.col("p_tests"), F.col("tests")))
     if born:
         events.insert(0, event("BORN", ~had, F.lit(None).cast("string"), F.col("nodes")))
-    return s.select("feature_id", "commit_id", F.explode(F.array_compact(F.array(*events))).alias("e")).select("feature_id", "commit_id", "e.*").dropDuplicates(["feature_id", "commit_id", "event_type"])
+    found = F.array_compact(F.array(*events))
+    if unchanged:
+        found = F.when(F.size(found) > 0, found).otherwise(F.array(event("UNCHANGED", had, F.col("p_nodes"), F.col("nodes"))))
+    return s.select("feature_id", "commit_id", F.explode(found).alias("e")).select("feature_id", "commit_id", "e.*").dropDuplicates(["feature_id", "commit_id", "event_type"])
 
 
 def following(df: DataFrame, column: str, name: str, width: int = 1 << 16) -> DataFrame:
@@ -202,7 +206,6 @@ def identify(entries: DataFrame) -> DataFrame:
     return entries.groupBy("repo").applyInPandas(fold, _IDENTITY)
 
 
-EVENT_SCHEMA = T.StructType([T.StructField("feature_id", T.LongType()), T.StructField("commit_id", T.LongType()), T.StructField("event_type", T.StringType())])
 
 
 def filtered_events(events: DataFrame, feature_id: int | None = None, event_type: str = "") -> DataFrame:

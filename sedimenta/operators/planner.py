@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators import relational
 
-OPERATIONS = ("search_symbols", "find_callers", "list_features", "list_events")
+OPERATIONS = ("search_symbols", "find_callers", "list_features", "list_events", "stats")
+MOST = 100  # rows that an operation returns at most
 AUDIT = "created_at double, repository string, question string, plan string, status string, result_count int, duration_ms double, error string"
 
 
@@ -34,6 +35,8 @@ def plan(question: str, answer: str | None = None) -> list[dict]:
     words = question.lower()
     if found and any(w in words for w in ("call", "who uses", "impact")):
         return [{"operation": "find_callers", "args": {"symbol": found[0]}}]
+    if any(w in words for w in ("how many", "statistic", "stats", "overview")):
+        return [{"operation": "stats", "args": {}}]
     if any(w in words for w in ("event", "history", "changed", "evolution")):
         return [{"operation": "list_events", "args": {}}]
     if any(w in words for w in ("feature", "capabilit")):
@@ -52,14 +55,47 @@ def find_callers(nodes: DataFrame, edges: DataFrame, symbol: str, limit: int = 2
     return hit.select("caller_id", "caller_name", "caller_file_path").distinct().orderBy("caller_name", "caller_id").limit(max(1, min(limit, 100)))
 
 
-def execute(repositories: dict[str, tuple[DataFrame, DataFrame]], step: dict, limit: int = 20) -> DataFrame:
-    """One operation over all member repositories, rows tagged with theirs."""
-    out, args = None, step.get("args", {})
-    for repo, (nodes, edges) in repositories.items():
-        got = find_callers(nodes, edges, args["symbol"], limit) if step["operation"] == "find_callers" else search_symbols(nodes, args.get("keyword", ""), limit)
+def list_features(features: DataFrame, search: str = "", limit: int = 20) -> DataFrame:
+    hit = features.filter(F.lower("canonical_name").contains(search.lower()))
+    return hit.select("feature_id", "canonical_name", "status").orderBy("canonical_name", "feature_id").limit(max(1, min(limit, MOST)))
+
+
+def list_events(events: DataFrame, event_type: str = "", limit: int = 20) -> DataFrame:
+    """The newest events, of one kind or of all."""
+    hit = events.filter(F.col("event_type") == event_type) if event_type else events
+    return hit.select("commit_id", "feature_id", "event_type").orderBy(F.desc("commit_id"), "feature_id", "event_type").limit(max(1, min(limit, MOST)))
+
+
+def stats(**tables: DataFrame) -> DataFrame:
+    """(what, n): how many rows each table has."""
+    counts = [df.agg(F.lit(name).alias("what"), F.count("*").alias("n")) for name, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def execute(repositories: dict[str, tuple[DataFrame, ...]], step: dict, limit: int = 20) -> DataFrame:
+    """One operation over all member repositories (nodes, edges, and for what is asked of history features, events), rows tagged with theirs."""
+    out, args, what = None, step.get("args") or {}, step["operation"]
+    if what not in OPERATIONS:
+        raise ValueError(f"no such operation: {what}")
+    for repo, (nodes, edges, *history) in repositories.items():
+        if what in ("list_features", "list_events") and len(history) < 2:
+            raise ValueError(f"{what} needs the features and events of {repo}")
+        if what == "find_callers":
+            got = find_callers(nodes, edges, args["symbol"], limit)
+        elif what == "list_features":
+            got = list_features(history[0], args.get("search", ""), limit)
+        elif what == "list_events":
+            got = list_events(history[1], args.get("event_type", ""), limit)
+        elif what == "stats":
+            got = stats(**dict(zip(("nodes", "edges", "features", "events"), (nodes, edges, *history))))
+        else:
+            got = search_symbols(nodes, args.get("keyword", ""), limit)
         got = got.withColumn("repository", F.lit(repo))
         out = got if out is None else out.unionByName(got)
-    return out.limit(max(1, min(limit, 100)))
+    return out.limit(max(1, min(limit, MOST)))
 
 
 def audited(spark: SparkSession, path: str, repository: str, question: str, run) -> DataFrame | None:

@@ -267,9 +267,12 @@ def frontend_callers(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ order, pages, keyed tables
 
 
+MOST = 200  # rows of a page
+
+
 def page(df: DataFrame, order: list[Column], limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(page, total): two queries, whatever the number of rows. The order should end in a unique column."""
-    limit = max(1, min(int(limit), 1000))
+    """(page, total): two queries, whatever the number of rows. The order should end in a unique column. A page has at most `MOST` rows."""
+    limit = max(1, min(int(limit), MOST))
     return df.orderBy(*order).offset(offset).limit(limit), df.agg(F.count("*").alias("total"))
 
 

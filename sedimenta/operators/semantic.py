@@ -57,8 +57,9 @@ def ask(df: DataFrame, prompts: Column, client: Callable[[str], str], concurrenc
     return df.withColumn("answer", call(prompts))
 
 
-def describe(functions: DataFrame, client: Callable[[str], str], kind: str = "description", top: int = 20) -> DataFrame:
-    return ask(functions.orderBy("id").limit(top), prompt(kind), client)
+def describe(functions: DataFrame, client: Callable[[str], str], kind: str = "description", limit: int | None = None) -> DataFrame:
+    """Every function with its answer; with `limit` only so many, those with the smallest ids."""
+    return ask(functions if limit is None else functions.orderBy("id").limit(limit), prompt(kind), client)
 
 
 def business_rules(api: DataFrame, mermaid: Column, client: Callable[[str], str]) -> DataFrame:

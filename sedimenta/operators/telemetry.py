@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.paths import path_keys, path_matches
-from sedimenta.operators.relational import greedy_pairs
+from sedimenta.operators.relational import MOST, greedy_pairs
 
 _VALUE = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double,bytesValue:string,arrayValue:string,kvlistValue:string>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
@@ -119,9 +119,9 @@ def read_otlp(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listed(obs: DataFrame, feature_id: int | None = None, kind: str = "", limit: int = 100) -> DataFrame:
-    """The newest observations of a feature and a kind; either may be left open."""
+    """The newest observations of a feature and a kind; either may be left open. At most 200 of them."""
     if feature_id is not None:
         obs = obs.filter(F.col("feature_id") == feature_id)
     if kind:
         obs = obs.filter(F.col("kind") == kind)
-    return obs.orderBy(F.desc("timestamp_ns"), F.desc("obs_id")).limit(max(1, min(limit, 1000)))
+    return obs.orderBy(F.desc("timestamp_ns"), F.desc("obs_id")).limit(max(1, min(limit, MOST)))

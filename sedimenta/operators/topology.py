@@ -9,8 +9,10 @@ from sedimenta.functions import names, paths, rules
 from sedimenta.operators import graph, relational
 
 
-def client_patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(lang, p, m) for lang, ps in rules.HTTP_CLIENTS.items() for p, m in ps], "language string, pattern string, method string")
+def client_patterns(spark: SparkSession, rule_set: dict | None = None) -> DataFrame:
+    """HTTP client patterns of the built-in rules, or of `rules.rule_set(path)`."""
+    clients = (rule_set or rules.rule_set())["http_clients"]
+    return spark.createDataFrame([(lang, p, m) for lang, ps in clients.items() for p, m in ps], "language string, pattern string, method string")
 
 
 def queue_patterns(spark: SparkSession, table: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -47,7 +49,9 @@ def potential_edges(outbound: DataFrame, matched: DataFrame, services: DataFrame
     s = services.select(F.lower("name").alias("known"))
     hit = F.lower("suspected").contains(F.col("known"))
     best = u.join(s, hit, "left").groupBy("call_id", "service", "url", "suspected").agg(F.max(F.when(F.col("known").isNotNull(), 0.35).otherwise(0.1)).alias("confidence"))
-    return best.dropDuplicates(["call_id"])
+    # of several URLs of a call the likeliest, then the first in order
+    kept = best.groupBy("call_id").agg(F.min_by(F.struct("service", "url", "suspected", "confidence"), F.struct(-F.col("confidence"), "url", "suspected", "service")).alias("b"))
+    return kept.select("call_id", "b.*")
 
 
 def dependency_graph(edges: DataFrame) -> DataFrame:
@@ -74,16 +78,18 @@ def detect(imports: DataFrame, files: DataFrame) -> DataFrame:
     return main.join(kinds, "service", "full").withColumn("role", rules.role_of(F.col("service")))
 
 
-def channels(calls: DataFrame, decorated: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(publishers, subscribers), each (service, mq_type, topic, function), of calls and of decorated functions(service, function, decorators)."""
-    spark = calls.sparkSession
-    made = relational.pattern_calls(calls, queue_patterns(spark, rules.PRODUCERS))
+def channels(calls: DataFrame, decorated: DataFrame, sources: DataFrame, rule_set: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(publishers, subscribers), each (service, mq_type, topic, function), of calls and of decorated functions(service, function, decorators: a JSON array of
+    texts), by the built-in patterns or those of `rules.rule_set(path)`."""
+    spark, known = calls.sparkSession, rule_set or rules.rule_set()
+    made = relational.pattern_calls(calls, queue_patterns(spark, known["producers"]))
     made = context_of(made, sources)
     pub = made.select("service", "mq_type", F.coalesce(paths.source_topic(F.col("context")), paths.guessed_topic(F.col("function"))).alias("topic"), "function").distinct()
-    hit = F.lower(F.concat_ws(" ", "function", "decorators")).contains(F.lower("pattern"))
-    taken = decorated.join(F.broadcast(queue_patterns(spark, rules.CONSUMERS)), hit)
-    named = F.nullif(F.regexp_extract(F.coalesce("decorators", F.lit("")), r"\(\\?[\"']([^\"'\\]+)", 1), F.lit(""))
-    sub = taken.select("service", "mq_type", F.coalesce(paths.decorator_topic(F.col("decorators")), named, paths.guessed_topic(F.col("function"))).alias("topic"), "function").distinct()
+    decorated = decorated.withColumn("said", F.concat_ws(" ", rules.decorators(F.col("decorators"))))
+    hit = F.lower(F.concat_ws(" ", "function", "said")).contains(F.lower("pattern"))
+    taken = decorated.join(F.broadcast(queue_patterns(spark, known["consumers"])), hit)
+    named = F.nullif(F.regexp_extract("said", r"\([\"']([^\"']+)", 1), F.lit(""))
+    sub = taken.select("service", "mq_type", F.coalesce(paths.source_topic(F.col("said")), paths.decorator_topic(F.col("said")), named, paths.guessed_topic(F.col("function"))).alias("topic"), "function").distinct()
     return pub, sub
 
 

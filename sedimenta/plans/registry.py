@@ -256,7 +256,7 @@ def event_type_stats(spark, d):
 @query("SELECT entry_type, max_by(class, n * 1000 - CAST(substring(class, 7, 3) AS BIGINT)) AS class FROM (SELECT entry_type, class, count(*) AS n FROM features GROUP BY 1, 2) GROUP BY 1", "features")
 def primary_class(spark, d):
     n = carrier(spark, d, "features").groupBy("entry_type", "class").agg(count())
-    return n.groupBy("entry_type").agg(F.max_by("class", F.col("n") * 1000 - F.substring("class", 7, 3).cast("bigint")).alias("class"))
+    return n.groupBy("entry_type").agg(F.max_by("class", F.struct("n", -F.substring("class", 7, 3).cast("bigint"))).alias("class"))
 
 
 @query("SELECT source AS id, count(*) AS fields FROM (SELECT DISTINCT source, target FROM edges WHERE kind = 'contains') e JOIN nodes n ON e.target = n.id WHERE n.kind IN ('field', 'property') GROUP BY 1", *NODES_EDGES)
@@ -497,8 +497,7 @@ def identity_parts(spark, d):
 @query("""SELECT id, CASE WHEN contains(decorators, 'router.get') OR contains(decorators, 'app.post') THEN 'http' WHEN starts_with(lower(name), 'get_') THEN 'http' WHEN starts_with(name, 'run_') THEN 'cli' END AS entry FROM nodes WHERE kind IN ('function', 'method')""", "nodes")
 def entry_classes(spark, d):
     n = relational.functions(carrier(spark, d, "nodes"))
-    decs = F.regexp_replace(F.coalesce("decorators", F.lit("[]")), r"\([^)]*\)", "")  # arguments off, so that a decorator is its name
-    return n.select("id", rules.classify_entry(F.col("name"), F.col("file_path"), decs, F.lit(False)).alias("entry"))
+    return n.select("id", rules.classify_entry(F.col("name"), F.col("file_path"), F.coalesce("decorators", F.lit("[]")), F.lit(False)).alias("entry"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey > 15 THEN 'HIGH' WHEN n_nationkey >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM nation")
@@ -712,6 +711,53 @@ def question_callers(spark, d):
     return planner.execute({"r": (carrier(spark, d, "nodes"), carrier(spark, d, "edges"))}, planner.plan("who calls red_bolt?")[0])
 
 
+def _members(spark, d):
+    return {"r": tuple(carrier(spark, d, n) for n in ("nodes", "edges", "features", "evolution"))}
+
+
+@query("SELECT feature_id, canonical_name, status, 'r' AS repository FROM features WHERE contains(canonical_name, 'red_bolt') OR contains(canonical_name, 'red bolt') ORDER BY canonical_name, feature_id LIMIT 20", "features")
+def question_features(spark, d):
+    return planner.execute(_members(spark, d), {"operation": "list_features", "args": {"search": "red bolt"}})
+
+
+@query("SELECT commit_id, feature_id, event_type, 'r' AS repository FROM evolution ORDER BY commit_id DESC, feature_id, event_type LIMIT 20", "evolution")
+def question_events(spark, d):
+    return planner.execute(_members(spark, d), planner.plan("what events changed recently?")[0])
+
+
+@query("""SELECT 'nodes' AS what, count(*) AS n, 'r' AS repository FROM nodes UNION ALL SELECT 'edges', count(*), 'r' FROM edges UNION ALL SELECT 'features', count(*), 'r' FROM features UNION ALL SELECT 'events', count(*), 'r' FROM evolution""", "nodes", "edges", "features", "evolution")
+def question_stats(spark, d):
+    return planner.execute(_members(spark, d), planner.plan("how many are there?")[0])
+
+
+_SIZES = "SELECT feature_id, commit_id, nodes, edges, depth, file, row_number() OVER (PARTITION BY feature_id ORDER BY commit_id) AS nth FROM snapshots"
+
+
+@query(f"""WITH s AS ({_SIZES}) SELECT b.feature_id, b.commit_id FROM s a JOIN s b ON a.feature_id = b.feature_id AND b.nth = a.nth + 1
+ WHERE a.edges = b.edges AND a.file = b.file AND b.nodes < 1.3 * greatest(a.nodes, 1) AND b.nodes > 0.7 * greatest(a.nodes, 1) AND b.depth < 1.3 * greatest(a.depth, 1) AND b.depth > 0.7 * greatest(a.depth, 1)""", "snapshots")
+def unchanged_snapshots(spark, d):
+    return evolution.change_events(carrier(spark, d, "snapshots"), unchanged=True).filter("event_type = 'UNCHANGED'").select("feature_id", "commit_id")
+
+
+@query("""SELECT 'svc' || CAST(s_nationkey AS VARCHAR) AS service, CASE s_suppkey % 3 WHEN 0 THEN 'kafka' WHEN 1 THEN 'rabbitmq' ELSE 'celery' END AS mq_type,
+ CASE s_suppkey % 3 WHEN 0 THEN 'orders.n' || CAST(s_nationkey AS VARCHAR) WHEN 1 THEN 'jobs-queue' ELSE 'f' || CAST(s_suppkey AS VARCHAR) END AS topic, 'f' || CAST(s_suppkey AS VARCHAR) AS "function" FROM supplier""")
+def decorated_subscribers(spark, d):
+    s, n = table(spark, d, "supplier"), F.col("s_nationkey").cast("string")
+    dec = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('["@KafkaListener(topics=\\"orders.n'), n, F.lit('\\", groupId=\\"g\\")"]'))).when(F.col("s_suppkey") % 3 == 1, F.lit('["@RabbitListener(\\"jobs-queue\\")"]')).otherwise(F.lit('["@shared_task"]'))
+    decorated = s.select(F.concat(F.lit("svc"), n).alias("service"), F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("function"), dec.alias("decorators"))
+    calls = spark.createDataFrame([], "service string, function string, callee_name string, file_path string, line int")
+    return topology.channels(calls, decorated, spark.createDataFrame([], "file_path string, text string"))[1]
+
+
+@query("""WITH u AS (SELECT page_id AS call_id, split_part(split_part(url, '/', 3), ':', 1) AS suspected, url FROM pages WHERE page_id % 4 = 0)
+ SELECT call_id, 'shop' AS service, url, suspected, CAST(CASE WHEN contains(lower(suspected), 'example') THEN 0.35 ELSE 0.1 END AS DOUBLE) AS confidence FROM u""")
+def unanswered_calls(spark, d):
+    p = table(spark, d, "pages")
+    out = p.select(F.col("page_id").alias("call_id"), F.lit("shop").alias("service"), "url")
+    services = spark.createDataFrame([("Example",), ("orders",)], "name string")
+    return topology.potential_edges(out, out.filter("call_id % 4 <> 0"), services)
+
+
 @query("SELECT feature_id, canonical_name, count(e.event_id) AS events FROM features f LEFT JOIN evolution e USING (feature_id) WHERE contains(canonical_name, 'anvil') GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 20", "features", "evolution")
 def history_search(spark, d):
     return planner.search_history(carrier(spark, d, "features"), carrier(spark, d, "evolution"), "anvil")

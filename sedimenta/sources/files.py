@@ -134,14 +134,30 @@ class Store:
         return read_json(f"{self.root}/current.json", {"version": 0, "tables": {}})
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.current()["tables"][name])
+        if not self.parts(name):
+            raise KeyError(name)
+        return self.spark.read.parquet(*self.parts(name))
+
+    def parts(self, name: str) -> list[str]:
+        """The folders of a table that grows by appending; none where it isn't there."""
+        held = self.current()["tables"].get(name, [])
+        return [held] if isinstance(held, str) else held
+
+    def append(self, tables: dict[str, DataFrame], **facts) -> int:
+        """Adds rows to tables, and facts to the document, all at once: what was there isn't written again."""
+        now = self.current()
+        version = now["version"] + 1
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
+        write_json(f"{self.root}/current.json", {**now, **facts, "version": version, "tables": now["tables"] | {n: [*self.parts(n), f"{self.root}/v{version}/{n}"] for n in tables}})
+        return version
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
         now = self.current()
         version = now["version"] + 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
-        write_json(f"{self.root}/current.json", {"version": version, "tables": now["tables"] | {n: f"{self.root}/v{version}/{n}" for n in tables}})
+        write_json(f"{self.root}/current.json", {**now, "version": version, "tables": now["tables"] | {n: f"{self.root}/v{version}/{n}" for n in tables}})
         return version
 
 
@@ -149,6 +165,13 @@ def stale(cached_version: int | None, wanted: int, built_at: float, changed_at:
     return cached_version != wanted or built_at < changed_at
 
 
-def write_report(path: str, report: dict[str, DataFrame], cap: int = 100) -> None:
-    """The first rows of every dimension in one JSON document, for people."""
-    write_json(path, {name: [r.asDict(recursive=True) for r in df.limit(cap).collect()] for name, df in report.items()})
+def write_report(path: str, report: dict[str, DataFrame]) -> None:
+    """Every dimension, all its rows, in one JSON document that is written row by row: the driver holds one partition at a time."""
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        for k, (name, df) in enumerate(report.items()):
+            f.write(("{" if not k else ",\n ") + json.dumps(name) + ": [")
+            for n, row in enumerate(df.toLocalIterator()):
+                f.write((",\n  " if n else "\n  ") + json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False))
+            f.write("]")
+        f.write("}\n" if report else "{}\n")
+    os.replace(f"{path}.part", path)

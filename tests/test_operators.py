@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.functions import names, paths, rules
-from sedimenta.operators import evolution, graph, knowledge, planner, refactor, relational, semantic, telemetry, topology
+from sedimenta.operators import backfill, evolution, graph, knowledge, planner, refactor, relational, semantic, telemetry, topology
 from sedimenta.sources import files, history, sqlite
 from sedimenta.streaming import telemetry as streams
 
@@ -386,3 +386,100 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("feature_id bigint, commit_id bigint, nodes bigint").parquet(str(snaps))
     streams.run_available(streams.last_snapshots(stream), "changes", str(tmp_path / "c3"))
     assert [r.event_type for r in spark.table("changes").orderBy("commit_id").collect()] == ["BORN", "GROWN", "SHRUNK"]
+
+
+# ---------------------------------------------------------------- histories, rules in effect, whole reports
+
+
+def history_tables(spark):
+    rng = random.Random(3)
+    entries, edges, names = [], [], [f"f{k}" for k in range(12)]
+    for c in range(9):
+        alive = [n for n in names if rng.random() < 0.75]
+        entries += [(c, n, hash_of(n), f"src/{n if rng.random() < 0.9 else 'moved'}.py") for n in alive]
+        edges += [(c, n, f"{n}_{k}") for n in alive for k in range(rng.randint(1, 6))] + [(c, f"{n}_0", f"{n}_deep{k}") for n in alive for k in range(rng.randint(0, 3))]
+    return spark.createDataFrame([(c,) for c in range(9)], "commit_id int"), spark.createDataFrame(entries, "commit_id int, root string, feature_id bigint, file string"), spark.createDataFrame(edges, "commit_id int, source string, target string")
+
+
+def hash_of(name):
+    return int(name[1:])
+
+
+def test_updates_equal_one_backfill(spark, tmp_path):
+    commits, entries, edges = history_tables(spark)
+    whole, steps = files.Store(spark, str(tmp_path / "whole")), files.Store(spark, str(tmp_path / "steps"))
+    assert backfill.backfill(whole, commits, entries, edges) == 8
+    for upto in (3, 4, 8, 8):
+        assert backfill.update(steps, commits.filter(F.col("commit_id") <= upto), entries, edges) == upto
+    assert len(steps.parts("events")) == 3  # nothing was written where nothing was new
+    for name in ("snapshots", "events"):
+        assert sorted(map(str, whole.read(name).collect())) == sorted(map(str, steps.read(name).collect()))
+    assert {"BORN", "DIED", "GROWN"} <= {r.event_type for r in whole.read("events").select("event_type").collect()}
+    with pytest.raises(ValueError):
+        backfill.backfill(whole, commits, entries, edges)
+
+
+def test_entries_with_arguments(spark):
+    said = [('["@router.get(\'/api/items\')"]', "http"), ('["@app.post"]', "http"), ('["@scheduler.scheduled_job(\'cron\', hour=1)"]', "cron"), ('["@x.y(\'get.post\')"]', None)]
+    for d, want in said:
+        assert one(spark, rules.classify_entry(F.lit("x"), F.lit("a.py"), F.col("d"), F.lit(False)), d=d) == want
+
+
+def test_operations_of_history(spark):
+    nodes, edges = spark.createDataFrame([("1", "alpha", "function", "a.py", 1)], "id string, name string, kind string, file_path string, start_line int"), spark.createDataFrame([], "source string, target string, kind string")
+    features = spark.createDataFrame([(1, "pay order", "active"), (2, "ship", "removed")], "feature_id int, canonical_name string, status string")
+    events = spark.createDataFrame([(5, 1, "BORN"), (7, 1, "GROWN"), (6, 2, "DIED")], "commit_id int, feature_id int, event_type string")
+    shop = {"shop": (nodes, edges, features, events)}
+    assert [tuple(r) for r in planner.execute(shop, planner.plan("what events changed recently?")[0]).collect()] == [(7, 1, "GROWN", "shop"), (6, 2, "DIED", "shop"), (5, 1, "BORN", "shop")]
+    assert [r.feature_id for r in planner.execute(shop, {"operation": "list_features", "args": {"search": "PAY"}}).collect()] == [1]
+    assert {r.what: r.n for r in planner.execute(shop, planner.plan("statistics please")[0]).collect()} == {"nodes": 1, "edges": 0, "features": 2, "events": 3}
+    for step in ({"operation": "drop"}, {"operation": "list_events"}):
+        with pytest.raises(ValueError):
+            planner.execute({"shop": (nodes, edges)}, step)
+
+
+def test_rule_document_takes_effect(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text('{"http_clients": {"python": [["mylib.call", "PUT"]]}, "consumers": {"own": ["@Own"]}}')
+    own = rules.rule_set(str(path))
+    services = spark.createDataFrame([("shop", "python")], "name string, language string")
+    calls = spark.createDataFrame([(1, "shop", "f", "mylib.call", "a.py", 1), (2, "shop", "f", "requests.get", "a.py", 2)], "call_id int, service string, function string, callee_name string, file_path string, line int")
+    sources = spark.createDataFrame([("a.py", 'mylib.call("http://users/api/x")\nrequests.get("http://users/api/y")')], "file_path string, text string")
+    assert [r.method for r in topology.outbound_calls(calls, services, sources, topology.client_patterns(spark, own)).select("method").distinct().collect()] == ["PUT"]
+    decorated = spark.createDataFrame([("shop", "f", '["@Own(topics=\\"orders.made\\")"]'), ("shop", "g", '["@KafkaListener(topics=\\"orders.created\\")"]')], "service string, function string, decorators string")
+    none = calls.limit(0)
+    assert [(r.mq_type, r.topic) for r in topology.channels(none, decorated, sources, own)[1].collect()] == [("own", "orders.made")]
+    assert [(r.mq_type, r.topic) for r in topology.channels(none, decorated, sources)[1].collect()] == [("kafka", "orders.created")]
+
+
+def test_reports_and_descriptions_are_whole(spark, tmp_path):
+    path = str(tmp_path / "report.json")
+    files.write_report(path, {"a": spark.range(250), "b": spark.range(0), "c": spark.createDataFrame([("x\n\"y\"", [1, 2])], "s string, l array<int>")})
+    got = files.read_json(path)
+    assert [r["id"] for r in got["a"]] == list(range(250)) and got["b"] == [] and got["c"] == [{"s": "x\n\"y\"", "l": [1, 2]}]
+    files.write_report(path, {})
+    assert files.read_json(path, 1) == {}
+
+
+def test_common_folder(spark):
+    for paths_, want in [(["a/b/c.py", "a/b/d/e.py"], "a/b"), (["a/b.py", "c/d.py"], ""), (["a/b/c.py"], "a/b"), ([], ""), ([None, "x/y.py"], "x"), (["z.py", "z.py"], ""), (["ab/x.py", "a/x.py"], "")]:
+        df = spark.createDataFrame([(paths_,)], "p array<string>")
+        assert df.select(paths.common_folder(F.col("p"))).first()[0] == want, paths_
+
+
+def test_likeliest_url_of_a_call_stays(spark):
+    out = spark.createDataFrame([(1, "shop", "http://zzz/api"), (1, "shop", "http://orders-svc/api"), (2, "shop", "http://b/x"), (2, "shop", "http://a/x")], "call_id int, service string, url string")
+    got = topology.potential_edges(out, out.limit(0), spark.createDataFrame([("orders",)], "name string")).collect()
+    assert {r.call_id: (r.url, r.confidence) for r in got} == {1: ("http://orders-svc/api", 0.35), 2: ("http://a/x", 0.1)}
+
+
+def test_blobs_of_a_commit(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a.py").write_text("one\ntwo\n")
+    (tmp_path / "b.bin").write_bytes(b"\x00\xff")
+    run("add", ".")
+    run("commit", "-qm", "feat: first")
+    tree = history.tree(spark, str(tmp_path))
+    got = {r.path: r.text for r in history.blobs_at(spark, str(tmp_path), tree.unionByName(spark.createDataFrame([("0" * 40, "gone")], "blob string, path string"))).collect()}
+    assert got == {"a.py": "one\ntwo\n", "b.bin": None, "gone": None}

@@ -262,6 +262,7 @@ def quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
 
 
 def only_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", reject: float = REJECT, max_docs: int = MAX_DOCS) -> DataFrame:
-    """The rows of `docs` that `quality` calls good, all columns unchanged; a null quality stays."""
+    """The rows of `docs` that `quality` calls good, all columns unchanged, repeated rows as often as they come. A null quality stays: null, empty and blank texts,
+    and all texts where there are no labels of both classes. A tie with `reject` is good. An empty table stays empty; columns of any name are carried along."""
     score = _scorer(docs, labels, text_col, id_col, max_docs)
     return docs.filter(F.coalesce(score(quoted(text_col)) >= reject, F.lit(True)))

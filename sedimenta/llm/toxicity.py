@@ -24,8 +24,9 @@ from sedimenta.llm.textkit import mix, spans, string_buffers, words
 MAX_EXAMPLES = 2000  # of each class, for the index; as many again of each for the calibration
 NEIGHBOURS = 10
 BLOCK = 64
-CHI2 = 15.0
-MIN_DOCS = 4
+CHI2 = 15.0  # a word is in the vocabulary if its chi-squared statistic between the classes reaches this
+MIN_DOCS = 4  # and so many examples have it
+ALIKE = 0.5  # labelled texts of one class whose word sets have this Jaccard similarity count once
 REJECT = 0.5
 DRAWS = 4  # samples of the labels at most, the first among them
 
@@ -169,7 +170,7 @@ def _word_sets(batches):
         yield pa.RecordBatch.from_pydict({"id": batch.column(0), "y": batch.column(1), "h": pa.array([x.tobytes() for x, _ in out], pa.binary()), "n": pa.array([c.astype(np.int32).tobytes() for _, c in out], pa.binary())})
 
 
-def independent(sets: list[np.ndarray], alike: float = 0.5) -> np.ndarray:
+def independent(sets: list[np.ndarray], alike: float = ALIKE) -> np.ndarray:
     """Marks one of each group of texts whose word sets are alike (Jaccard, found by banded minwise hashes and then computed): many
     copies of one labelled text are one piece of evidence, not many, for what a word says."""
     bands, width = 16, 4
@@ -203,7 +204,7 @@ def independent(sets: list[np.ndarray], alike: float = 0.5) -> np.ndarray:
     return keep
 
 
-def evidence(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, per_class: int) -> pd.DataFrame:
+def evidence(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, per_class: int, alike: float = ALIKE) -> pd.DataFrame:
     """(id, y, h, n) of up to `per_class` labelled documents of each class, by id, near copies of one another within a class counted once; of a
     toxic and a clean text that are alike both stay. Places that copies took are drawn again, in at most `DRAWS` samples."""
     kept: list[pd.DataFrame | None] = [None, None]
@@ -217,17 +218,17 @@ def evidence(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, per
             new = rows[rows["y"] == y]
             both = new if kept[y] is None else pd.concat([kept[y], new])
             had = 0 if kept[y] is None else len(kept[y])
-            kept[y] = both[independent([np.frombuffer(x, np.uint64) for x in both["h"]])].head(per_class)
+            kept[y] = both[independent([np.frombuffer(x, np.uint64) for x in both["h"]], alike)].head(per_class)
             missing, rate = per_class - len(kept[y]), (len(kept[y]) - had) / max(1, len(new))
             taken[y] += want[y]
             want[y] = min(per_class, int(np.ceil(missing / max(rate, 0.05)))) if want[y] and len(new) == want[y] else 0
     return pd.concat(kept).sort_values("id", ignore_index=True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS, chi2: float = CHI2, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> ToxicityModel:
     """The model from at most 2 x `max_examples` labelled documents of each class, near copies of one another in it counted once: by the
     hash of their ids every other one is an example, the others calibrate. Document frequencies count all of `docs`."""
-    rows = evidence(docs, labels, text_col, id_col, 2 * max_examples)
+    rows = evidence(docs, labels, text_col, id_col, 2 * max_examples, alike)
     sets = [np.frombuffer(x, np.uint64) for x in rows["h"]]
     y = rows["y"].to_numpy(np.int64)
     turn = (rows["id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(int) if len(rows) else np.zeros(0, int)
@@ -238,8 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     c0, c1 = (np.bincount(part, minlength=len(vocabulary)).astype(float) for part in (inverse[: len(held[0])], inverse[len(held[0]) :]))
     seen, total = c0 + c1, max(1, n0 + n1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = total * (c1 * (n0 - c0) - c0 * (n1 - c1)) ** 2 / (seen * (total - seen) * max(n0, 1) * max(n1, 1))
-    pick = (seen >= MIN_DOCS) & (np.nan_to_num(chi2, nan=0.0, posinf=0.0) >= CHI2)
+        apart = total * (c1 * (n0 - c0) - c0 * (n1 - c1)) ** 2 / (seen * (total - seen) * max(n0, 1) * max(n1, 1))
+    pick = (seen >= min_docs) & (np.nan_to_num(apart, nan=0.0, posinf=0.0) >= chi2)
     vocabulary = vocabulary[pick]
 
     df, n_docs = _document_frequencies(docs, text_col, vocabulary)
@@ -279,7 +280,6 @@ def _calibrate(model: ToxicityModel, counts: np.ndarray, y: np.ndarray) -> None:
     """Logistic scaling of the vote on the held-out sample, both classes weighing the same; and the base rate."""
     some = counts.any(axis=1) if len(counts) else np.zeros(0, bool)
     model.base = float(((y[~some] == 1).sum() + 0.5) / ((~some).sum() + 1)) if len(y) else 0.0
-    model.base = min(model.base, 0.49)
     vote = model.vote(counts[some])[0] if some.any() else np.zeros(0)
     ok = ~np.isnan(vote)
     x, t = np.stack([vote[ok], np.ones(ok.sum())], axis=1), y[some][ok].astype(float)
@@ -292,17 +292,18 @@ def _calibrate(model: ToxicityModel, counts: np.ndarray, y: np.ndarray) -> None:
     model.slope, model.shift = float(w[0]), float(w[1])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", reject: float = REJECT, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", reject: float = REJECT, max_examples: int = MAX_EXAMPLES, **how) -> DataFrame:
     """(doc_id, toxicity, is_toxic, evidence) of every row of `docs`.
 
-    `toxicity` is the calibrated probability, `is_toxic` whether it reaches `reject`, `evidence` the examples that voted
-    (example_id, similarity, toxic), nearest first, ties by the index order. A text that shares no word with an
-    example, a null or empty one too, has no evidence and the held-out rate of such documents, below one half. Each row is
+    `toxicity` is the calibrated probability, `is_toxic` whether there is evidence and it reaches `reject`, `evidence` the examples that voted
+    (example_id, similarity, toxic), nearest first; of equal cosines (to 12 places) the one first in the index. The cosine is over the words of the vocabulary:
+    those that tell the classes of the labelled sample apart (`chi2`, `min_docs`), counted over the whole text, however long. A text with none of them, a null or
+    empty one too, has no evidence, so it isn't called toxic; its `toxicity` is the rate of toxic ones among held-out labelled texts without evidence. Each row is
     scored on its own, so repeated rows and null ids give as many rows. Without labels of both classes nothing is toxic.
     An empty table gives an empty table; further columns aren't read, so their names don't matter.
     """
     docs = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples=max_examples))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples=max_examples, **how))
 
     def run(batches):
         model = shared.value
@@ -314,18 +315,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
                 np.concatenate([[0], np.cumsum(some.sum(axis=1))]).astype(np.int32),
                 pa.StructArray.from_arrays([pa.array(model.ids[at]), pa.array(cosine[some]), pa.array(model.toxic[at].astype(np.int32))], ["example_id", "similarity", "toxic"]),
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= reject), evidence], ["doc_id", "toxicity", "is_toxic", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= reject) & some[:, 0]), evidence], ["doc_id", "toxicity", "is_toxic", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, toxicity double, is_toxic boolean, evidence array<struct<example_id bigint, similarity double, toxic int>>")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", reject: float = REJECT, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """The rows of `docs` that `toxicity` doesn't call toxic, all columns unchanged; texts without evidence stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col, id_col, max_examples))
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", reject: float = REJECT, max_examples: int = MAX_EXAMPLES, **how) -> DataFrame:
+    """The rows of `docs` that `toxicity` doesn't call toxic, all columns unchanged, repeated rows as often as they come. Texts without evidence stay: null and empty
+    ones, those without a word of the vocabulary, and all of them where there are no labels of both classes. A tie with `reject` is toxic. An empty
+    table stays empty; columns of any name are carried along."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col, id_col, max_examples, **how))
 
-    @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(texts)[0])
+    @F.arrow_udf(T.BooleanType())
+    def toxic(texts: pa.Array) -> pa.Array:
+        p, best, _ = shared.value.score(texts)
+        return pa.array((p >= reject) & (best[:, 0] >= 0))
 
-    return docs.filter(score(quoted(text_col)) < reject)
+    return docs.filter(~toxic(quoted(text_col)))

@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
-A hint is a word that speaks of licensing; every template has one. Its surroundings are compressed with each template as a raw zstandard
-dictionary; the templates are ranked by how small they make them. The best ones are then aligned word by word with as much text around
-the hint as each needs, and one is confirmed if hardly a word differs, and none that tells licences apart.
+Candidates are the places of a text that share `RUN` successive words with a template, found by hashes over all of its words. Their surroundings are
+compressed with each template as a raw zstandard dictionary; the templates are ranked by how small they make them. The best ones are then aligned word by word with
+as much text around the place as each needs, and one is confirmed if hardly a word differs, and none that tells licences apart.
 """
 
 from __future__ import annotations
@@ -10,25 +10,23 @@ from __future__ import annotations
 import re
 from collections import Counter
 from difflib import SequenceMatcher
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sedimenta.llm.common import quoted
 from sedimenta.llm.templates import RESERVED, TEMPLATES
+from sedimenta.llm.textkit import mix, spans, string_buffers, words
 
-HINTS = ("licens", "licenc", "copyright", "spdx", "warrant", "redistribut", "permission is hereby", "permission to use", "public domain", "free software", "released under", "distributed under", "rights reserved")
+RUN = 3  # words in a row that a place has in common with a template to be a candidate; a shorter template counts whole
 LEVEL = 3
 CONTENDERS = 4  # templates that are aligned; any that ties with the last of them as well
 TOLERANCE = 0.1
 SHORT = 40  # words of a notice that must have every telling word
-WINDOW = 600  # characters around a hint in a line too long to be a notice
-NEAR = 120  # characters on both sides of a hint that rank the templates beside its line
+AROUND = (0, 120, 600)  # characters on both sides of a candidate that are compressed, wherever lines end
+GAP = 300  # candidates that no template confirms share a row where no more characters lie between them
 CHARS = 24  # characters that a word takes at most on the average, with what stands between words
 _WORDS = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+")
 _RESERVED = re.compile(r"\W+".join(RESERVED[1].rstrip(".").split()), re.IGNORECASE)
@@ -39,32 +37,65 @@ def wording(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def hint_pattern(hints: tuple[str, ...]) -> re.Pattern:
-    """Any of the hints; between the words of one there may be a line's end and what marks a comment."""
-    return re.compile("|".join(r"\W+".join(map(re.escape, h.split())) for h in hints), re.IGNORECASE)
+def hashed_runs(h: np.ndarray, first: np.ndarray, run: int) -> np.ndarray:
+    """A hash of each word and the run - 1 words after it in its row; 0 where the row has fewer."""
+    out = h[: max(0, len(h) - run + 1)].copy()
+    for k in range(1, run):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
+    out = np.concatenate([out, np.zeros(len(h) - len(out), np.uint64)])
+    return np.where(np.arange(len(h)) + run <= np.repeat(first[1:], np.diff(first)), out, np.uint64(0))
 
 
-_HINT = hint_pattern(HINTS)
+class Gate:
+    """Finds the stretches of texts that are runs of words of some wording."""
 
-
-def hints_for(templates: list[tuple[str, str]]) -> tuple[str, ...]:
-    """`HINTS`, and the first three words of each template that has none of them: every template has a hint."""
-    more = {" ".join(wording(t)[:3]): None for _, t in templates if not _HINT.search(t) and wording(t)}
-    return (*HINTS, *more)
-
-
-def line_at(text: str, begin: int, end: int, lo: int = 0) -> tuple[int, int]:
-    """The lines from `lo` on that hold [begin, end); of lines of more than 4 `WINDOW` characters the `WINDOW` characters on both sides."""
-    first, last = max(lo, text.rfind("\n", 0, begin) + 1), text.find("\n", end)
-    last = len(text) if last < 0 else last
-    return (first, last) if last - first <= 4 * WINDOW + end - begin else (max(first, begin - WINDOW), min(last, end + WINDOW))
+    def __init__(self, wordings: list[str]) -> None:
+        self.known: dict[int, np.ndarray] = {}
+        for text in wordings:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            _, _, h, first = words(raw, np.array([0, len(raw)]))
+            run = min(RUN, len(h))
+            if run:
+                got = hashed_runs(h, first, run)
+                self.known[run] = np.union1d(self.known.get(run, got[:0]), got[got != 0])
+
+    def places(self, data: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Row -> byte ranges of its stretches, in order; runs that overlap are one stretch."""
+        starts, ends, h, first = words(data, offs)
+        hit = np.zeros(len(h), np.int64)
+        for run, known in self.known.items():
+            got = hashed_runs(h, first, run)
+            near = np.zeros(1 << 16, bool)
+            near[(known >> np.uint64(48)).astype(np.int64)] = True
+            at = np.flatnonzero(near[(got >> np.uint64(48)).astype(np.int64)])
+            at = at[np.isin(got[at], known)]
+            hit[at] = np.maximum(hit[at], run)
+        out: dict[int, list[tuple[int, int]]] = {}
+        for w in np.flatnonzero(hit):
+            row = int(np.searchsorted(first, w, side="right")) - 1
+            begin, end = int(starts[w] - offs[row]), int(ends[w + hit[w] - 1] - offs[row])
+            held = out.setdefault(row, [])
+            if held and begin <= held[-1][1]:
+                held[-1] = (held[-1][0], max(end, held[-1][1]))
+            else:
+                held.append((begin, end))
+        return out
+
+
+def in_characters(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte ranges of a text as ranges of characters."""
+    if text.isascii():
+        return places
+    raw = np.frombuffer(text.encode(), np.uint8)
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return [(int(before[a]), int(before[b])) for a, b in places]
 
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]] | None = None) -> None:
         self.templates = TEMPLATES if templates is None else templates
         self.words = [wording(t) for _, t in self.templates]
-        self.hint = hint_pattern(hints_for(self.templates))
+        self.gate = Gate([t for _, t in [*self.templates, RESERVED]])
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         *self.primed, self.reserved = [
             zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in [*self.templates, RESERVED]
@@ -108,24 +139,22 @@ class Scanner:
         return np.flatnonzero(size <= last).tolist()
 
     def notice(self, text: str, begin: int, end: int, lo: int) -> tuple[int, int, int, list[str], list[str]] | None:
-        """(start, end, template, words missing, words extra) of the confirmed notice around the hint [begin, end), not before `lo`. The
-        contenders are ranked by the hint's line and by what stands close to it, which tells short notices amid other text too little apart:
-        those whose telling words all stand around the hint contend as well. Each is aligned with as many words before and after the hint as it
-        has itself, wherever lines end."""
-        first, last = line_at(text, begin, end, lo)
-        contenders = {*self.rank(text[first:last]), *self.rank(text[max(lo, begin - NEAR) : end + NEAR])}
-        reach = CHARS * max(SHORT, *(len(self.words[t]) for t in contenders)) + NEAR
+        """(start, end, template, words missing, words extra) of the confirmed notice around the candidate [begin, end), not before `lo`. The contenders are
+        ranked by the candidate and by more and more of what stands around it, which tells short notices amid other text too little apart: those
+        whose telling words all stand around it contend as well. Each is aligned with as many words before and after it as it has itself."""
+        contenders = {t for n in AROUND for t in self.rank(text[max(lo, begin - n) : end + n])}
+        reach = CHARS * max(SHORT, *(len(self.words[t]) for t in contenders)) + AROUND[1]
         at = max(lo, begin - reach)
         tokens = [(m.start() + at, m.end() + at, m.group().lower()) for m in _WORDS.finditer(text[at : end + reach])]
-        here = sum(e <= begin for _, e, _ in tokens)
-        close = {w for _, _, w in tokens[max(0, here - 2 * SHORT) : here + 2 * SHORT]}
+        here, there = sum(e <= begin for _, e, _ in tokens), sum(b < end for b, _, _ in tokens)
+        close = {w for _, _, w in tokens[max(0, here - 2 * SHORT) : there + 2 * SHORT]}
         contenders |= {t for t, named in self.short.items() if named <= close}
         best = None
         for t in sorted(contenders):
             n = len(self.words[t])
             slack = 3 + int(TOLERANCE * n)
             low = max(0, here - n - slack)
-            mine = [w for _, _, w in tokens[low : here + n + slack]]
+            mine = [w for _, _, w in tokens[low : there + n + slack]]
             if n - (Counter(self.words[t]) & Counter(mine)).total() > TOLERANCE * n:
                 continue
             for a, b, missing, extra in self.alignments(self.words[t], mine, slack):
@@ -163,39 +192,42 @@ class Scanner:
                 extra = [w for (_, j, n), (_, after, _) in zip(run, run[1:]) for w in part[j + n : after]]
                 yield at + run[0][1], at + run[-1][1] + run[-1][2], missing, extra
 
-    def scan_all(self, text: str) -> list[tuple]:
+    def scan_all(self, text: str, places: list[tuple[int, int]] | None = None) -> list[tuple]:
         """(start, block, licence, confirmed, size reduction, share of words found, words missing, words extra) of a text's notices and of the
-        blocks of lines with a hint that belongs to none; a line between two such lines is included."""
-        out, loose, lo, at = [], [], 0, 0
-        while (hint := self.hint.search(text, at)) is not None:
-            got = self.notice(text, *hint.span(), lo) if self.templates else None
-            if got is None:
-                begin, end = line_at(text, *hint.span(), lo)
-                if loose and (begin <= loose[-1][1] or text.count("\n", loose[-1][1], begin) <= 2 and end - begin <= 4 * WINDOW) and end - loose[-1][0] <= 8 * WINDOW:
-                    loose[-1][1] = max(end, loose[-1][1])
-                else:
-                    loose.append([max([begin, *(b for _, b in loose[-1:])]), end])
-                at = hint.end()
-                continue
-            begin, end, t, missing, extra = got
-            begin, end = self.around(text, begin, end, lo)
-            raw = " ".join(text[begin:end].lower().split()).encode()
-            out += self.candidates(text, loose, begin)
-            out.append((begin, text[begin:end], self.templates[t][0], True, round(1 - len(self.primed[t].compress(raw)) / len(self.plain.compress(raw)), 6), round(1 - len(missing) / len(self.words[t]), 6), missing, extra))
-            loose, lo, at = [], end, end
-        return out + self.candidates(text, loose, len(text))
-
-    def around(self, text: str, begin: int, end: int, lo: int) -> tuple[int, int]:
-        """The notice with its lines, as far as no other hint is in them."""
-        first, last = line_at(text, begin, end, lo)
-        before = [m.end() for m in self.hint.finditer(text, first, begin)]
-        after = self.hint.search(text, end, last)
-        stop = re.compile(r"[^\w\s]*").match(text, end, last).end()  # its own full stop
-        return begin if before else first, stop if after else last
-
-    def candidates(self, text: str, loose: list[list[int]], before: int) -> list[tuple]:
-        found = [(begin, text[begin : min(end, before)]) for begin, end in loose if begin < before]
-        return [(begin, block, *got[:6]) for begin, block in found if self.hint.search(block) and (got := self.scan(block)) is not None]
+        candidates that belong to none; the candidates are character ranges."""
+        if places is None:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            places = in_characters(text, self.gate.places(raw, np.array([0, len(raw)])).get(0, []))
+        out, loose, lo = [], [], 0
+        for begin, end in places:
+            begin = max(begin, lo)
+            while begin < end:  # a stretch may hold several notices
+                got = self.notice(text, begin, end, lo) if self.templates else None
+                if got is None:
+                    if loose and begin - loose[-1][1] <= GAP:
+                        loose[-1][1] = end
+                    else:
+                        loose.append([begin, end])
+                    break
+                first, last, t, missing, extra = got
+                last = re.compile(r"[^\w\s]*").match(text, last).end()  # its own full stop
+                raw = " ".join(text[first:last].lower().split()).encode()
+                out += self.candidates(text, loose, lo, first)
+                out.append((first, text[first:last], self.templates[t][0], True, round(1 - len(self.primed[t].compress(raw)) / len(self.plain.compress(raw)), 6), round(1 - len(missing) / len(self.words[t]), 6), missing, extra))
+                loose, lo = [], last
+                begin = max(begin, last)
+        return out + self.candidates(text, loose, lo, len(text))
+
+    def candidates(self, text: str, loose: list[list[int]], lo: int, before: int) -> list[tuple]:
+        """Rows of candidates that no template confirms, with what stands close to them, between `lo` and `before`."""
+        out = []
+        for begin, end in loose:
+            if begin < before:
+                first, last = max(lo, begin - AROUND[1]), min(before, end + AROUND[1])
+                if (got := self.scan(text[first:last])) is not None:
+                    out.append((first, text[first:last], *got[:6]))
+                lo = last
+        return out
 
     @staticmethod
     def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
@@ -211,26 +243,25 @@ class Scanner:
 
 
 def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(doc_id, block_no, start, block, license, confirmed, reduction, found, missing, extra): one row a candidate block.
+    """(doc_id, block_no, start, block, license, confirmed, reduction, found, missing, extra): one row a notice, and one for each place that shares `RUN`
+    successive words with a template but is confirmed by none (such places at most `GAP` characters apart are one).
 
-    Neighbouring notices of different licences get a row each. `license` is the template that fits best, `confirmed` whether its wording is there: at most a tenth of its words
+    Neighbouring notices get a row each; where lines end doesn't matter. `license` is the template that fits best, `confirmed` whether its wording is there: at most a tenth of its words
     missing, and in a short notice no word that tells licences apart missing or put in. Ties go to the fewest differing words, then the smaller size, then the
-    order of the templates. Where no template is confirmed but all rights are reserved, `license` says so; that grants nothing, so it isn't confirmed. `start` counts characters. A text without a hint, a null or empty one too, has no row. Each row is scanned on its own, so repeated
-    rows and null ids repeat theirs; texts are scanned whole. An empty table gives an empty table; further columns aren't read.
+    order of the templates. Where no template is confirmed but all rights are reserved, `license` says so; that grants nothing, so it isn't confirmed. `start` counts characters. A text that shares no such run with a template, a null or empty one too, has no row. Each row is scanned on its own, so repeated
+    rows and null ids repeat theirs; texts are scanned whole, however long. An empty table gives an empty table; further columns aren't read.
     """
-    docs = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    low = F.lower("text")
-    hinted = None
-    for hint in hints_for(TEMPLATES if templates is None else templates):
-        every = reduce(and_, [low.contains(word) for word in hint.split()])  # the words may be lines apart: the pattern decides
-        hinted = every if hinted is None else hinted | every
+    docs = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
 
     def run(batches):
         scanner = Scanner(templates)
         for batch in batches:
-            rows = []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                rows += [(k, no, *found) for no, found in enumerate(scanner.scan_all(text))]
+            rows, column = [], batch.column(1)
+            data, offs = string_buffers(column)
+            for lo, hi in spans(offs):
+                for row, places in sorted(scanner.gate.places(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]).items()):
+                    text = column[lo + row].as_py()
+                    rows += [(lo + row, no, *found) for no, found in enumerate(scanner.scan_all(text, in_characters(text, places)))]
             if rows:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -240,4 +271,4 @@ def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, block_no int, start bigint, block string, license string, confirmed boolean, reduction double, found double, missing array<string>, extra array<string>"
-    return docs.filter(hinted).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -132,6 +132,53 @@ def test_toxicity_on_held_out_labels(spark, sf01):
     assert kept.count() == toxicity.toxicity(docs, known).filter("not is_toxic").count()
 
 
+def test_toxicity_query_equals_brute_force(spark, sf01):
+    """Counts, weights, cosines, neighbours with ties, votes and the calibrated score, one document at a time, under the sample that the query draws."""
+    docs, truth = table(spark, sf01, "documents"), table(spark, sf01, "labels")
+    model = toxicity.fit(docs, truth)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, truth).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = {int(x): k for k, x in enumerate(model.vocabulary)}
+
+    def hashes(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return toxicity.words(data, np.array([0, len(data)]))[2].tolist()
+
+    counts = {d: Counter(held[h] for h in hashes(t) if h in held) for d, t in texts.items()}
+    df = Counter(w for c in counts.values() for w in c)
+    idf = [np.log((1 + len(texts)) / (1 + df[w])) + 1 for w in range(len(held))]
+
+    def vector(c):
+        v = {w: (1 + np.log(n)) * idf[w] for w, n in c.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = [vector(counts[int(i)]) for i in model.ids]
+    assert {int(i): int(t) for i, t in zip(model.ids, model.toxic)} == {r.doc_id: r.toxic for r in truth.collect() if r.doc_id in set(model.ids.tolist())}
+    for d, c in counts.items():
+        q = vector(c) if c else {}
+        cosine = [round(sum(x * e.get(w, 0.0) for w, x in q.items()), 12) for e in examples]
+        near = sorted((k for k in range(len(examples)) if cosine[k] > 0), key=lambda k: (-cosine[k], k))[: toxicity.NEIGHBOURS]
+        found = [(e.example_id, e.toxic) for e in got[d].evidence]
+        assert np.allclose([e.similarity for e in got[d].evidence], [cosine[k] for k in near], atol=1e-9)
+        if all(abs(cosine[a] - cosine[b]) > 1e-9 or cosine[a] == cosine[b] for a, b in zip(near, near[1:])):
+            assert len(found) == len(near)
+        if near:
+            weight = [1 / (1 - min(e.similarity, 1) + 0.05) for e in got[d].evidence]
+            vote = sum(w * t for w, (_, t) in zip(weight, found)) / sum(weight)
+            assert np.isclose(got[d].toxicity, 1 / (1 + np.exp(-(model.slope * vote + model.shift)))) and got[d].is_toxic == (got[d].toxicity >= toxicity.REJECT)
+        else:
+            assert got[d].toxicity == model.base and not got[d].is_toxic and not found
+
+
+def test_toxicity_without_evidence_is_never_toxic(spark):
+    rows = [(k, f"bad{k % 3} worse{k % 2} vile", 1) for k in range(40)] + [(100 + k, f"kind{k % 3} nice{k % 2} good", 0) for k in range(40)] + [(200 + k, f"odd{k}", 1) for k in range(30)]
+    docs, known = spark.createDataFrame([r[:2] for r in rows] + [(999, "nothing known"), (998, None)], "doc_id bigint, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id bigint, toxic int")
+    out = {r.doc_id: r for r in toxicity.toxicity(docs, known, chi2=3.0, min_docs=1, alike=1.1).collect()}
+    assert not out[999].is_toxic and not out[998].is_toxic and not out[999].evidence
+    assert {999, 998} <= {r.doc_id for r in toxicity.without_toxic(docs, known, chi2=3.0, min_docs=1, alike=1.1).collect()}
+
+
 def test_toxicity_on_odd_rows(spark):
     docs = odd_docs(spark)
     out = toxicity.toxicity(docs, labels(spark)).collect()
@@ -332,6 +379,22 @@ def test_all_rights_reserved_has_a_row(spark):
     assert sorted(got) == [(1, "All-Rights-Reserved", False, 1.0), (2, "All-Rights-Reserved", False, 1.0)]
 
 
+def test_every_wording_is_found_wherever_it_stands(spark):
+    rng = random.Random(11)
+    prose = [w for w in "the river ran slowly past old stone houses while seven boats waited under a grey bridge for morning tide and rain".split()]
+    few = lambda: " ".join(rng.choice(prose) for _ in range(rng.randint(3, 60)))
+    rows, want = [], {}
+    for d in range(60):
+        picked = [rng.choice(templates.TEMPLATES) for _ in range(rng.randint(0, 4))]
+        text = few() + "".join(f" {t} {few()}" for _, t in picked)
+        wrap = rng.choice([0, 25, 80])
+        rows.append((d, "\n".join(textwrap.wrap(text, wrap, break_long_words=False, break_on_hyphens=False)) if wrap else text))
+        want[d] = [name for name, _ in picked]
+    out = licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = {d: [r.license for r in sorted(out, key=lambda r: r.start) if r.doc_id == d and r.confirmed] for d in want}
+    assert got == want
+
+
 MIT_TEXT = """MIT License
 
 Copyright (c) 2020 Jane Doe

@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents without toxic ones, of good quality, without exact and near copies, packed into bins."""
+"""The corpus pipeline: documents without toxic ones, of good quality, without exact and near copies, packed into bins.
+
+Every stage keeps the columns of its input, whatever their names, up to the last one, which returns places in bins. Null and empty texts pass the
+classifiers (nothing in them is toxic or bad); exact dedup keeps every null text and one empty one; near dedup keeps both, and rows without an id; packing gives no
+row for texts of no length. Repeated rows leave one at exact dedup. Ties: a toxicity at the limit goes, a quality at the limit stays, of copies the smallest id
+stays. Texts count whole, however long; those longer than a bin are cut into pieces. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -19,22 +25,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1: rows that `without_toxic` keeps under the labels of `sf_dir`; null and empty texts stay."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: rows that `only_good` keeps under the labels of `sf_dir`; null, empty and blank texts stay."""
     return only_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: one row of each text, the one with the smallest id; null texts all stay."""
     return exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: one row of each group of near copies, the one with the smallest id; texts without words and rows without an id stay."""
     return near_dedup(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 5: where each piece of each text lies in which bin; texts of no length have no row."""
     return pack(docs, CAPACITY)
 
 

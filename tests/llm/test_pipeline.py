@@ -46,3 +46,21 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert sorted(got.columns) == sorted(rel.columns)
     want = [tuple(r) for r in con.sql(f"SELECT {', '.join(got.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()]
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_pipeline_on_odd_rows_and_empty_tables(spark, sf, tmp_path):
+    long = " ".join(f"word{k % 977} other{k % 13}" for k in range(30_000))
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma delta epsilon zeta"), (3, None), (4, None), (5, ""), (6, ""), (None, "nobody knows whose text this one is"), (None, None), (7, long), (8, "  \n\n "), (9, "one"), (9, "another text of the same id altogether")]
+    odd = spark.createDataFrame([(a, b, "x", "y", 1, {"k": 1}) for a, b in rows], "doc_id bigint, text string, __hit string, id string, n int, keep map<string,int>")
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (7, 1, 0), (9, 1, 0), (None, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        kept = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = f(spark, kept, d)
+            assert kept.dtypes == docs.dtypes, stage
+        out = corpus_pipeline.run(spark, d).collect()
+        lengths = sum(len(r.text or "") for r in kept.collect())
+        assert sum(r.length for r in out) == lengths and (lengths > 0) == (name == "odd")
+    assert {None, 1, 7} <= {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()}

@@ -7,19 +7,20 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.session import cut, ensure_checkpoint_dir
 
-__all__ = ["Slice", "bloom_positions", "bloom_set", "bloom_size", "bloom_test", "build_filter", "by_slice", "collect_filter", "cut", "filter_tester", "fresh", "orderable", "quoted", "removed", "row_order", "shuffle_partitions", "slice_column", "slices_for", "split_rows", "written"]
+__all__ = ["Slice", "bloom_positions", "bloom_set", "bloom_size", "bloom_test", "build_filter", "by_slice", "collect_filter", "cut", "filter_tester", "fresh", "opened", "orderable", "quoted", "removed", "row_order", "shuffle_partitions", "slice_column", "slices_for", "split_rows", "written"]
 
 
-def written(df: DataFrame) -> str:
-    """The path of a Parquet copy of the table in the shared folder."""
+def written(df: DataFrame, *by: str, **options: str) -> str:
+    """The path of a Parquet copy of the table in the shared folder, in folders by the columns `by`."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path, partitionBy=list(by) or None)
     return path
 
 
@@ -29,6 +30,12 @@ def removed(spark: SparkSession, path: str) -> None:
     jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, True)
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it of a table of `written`, for Python workers that read parts of it themselves: whatever pyarrow opens
+    (local and mounted folders, HDFS, S3, GCS)."""
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these which the table doesn't have, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

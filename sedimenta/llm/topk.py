@@ -2,18 +2,21 @@
 
 The distances of all vectors to many pivots are computed once. By the triangle inequality the largest difference between two
 vectors' pivot distances is a lower bound of their own distance. Vectors lie in groups: those with one nearest pivot, cut by their distance
-to it. A query first searches its own group; it goes on only to the groups whose bound is below its own k-th best distance so far. There it evaluates
-candidates in the order of their bounds, and stops when the next bound is above that distance.
+to it. The groups lie once in the shared folder, and no vector is sent anywhere else: a task takes the queries of a group, searches that group first and
+then reads the others in the order of their bounds, each for the queries whose own k-th best distance so far isn't below the bound. There a query
+evaluates candidates in the order of their bounds, and stops when the next bound is above that distance.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sedimenta.llm.common import cut, quoted
+from sedimenta.llm.common import cut, opened, quoted, removed, shuffle_partitions, split_rows, written
 
 PIVOTS = 48
 GROUP = 8192
@@ -179,6 +182,54 @@ def _by_key(batches):
         yield pa.concat_tables(held)
 
 
+def may_hold(gap, limit, reach):
+    """Whether vectors at so large a gap may lie within the limit. What rounding may hide gives way as in `search`."""
+    return gap <= limit + TIE + 1e-12 * (limit + reach)
+
+
+
+def placed(batch: pa.RecordBatch, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each vector of the column `v`, and its distance."""
+    d = distances(_matrix(batch.column("v")).astype(float), pivots)
+    return d.argmin(axis=1), d.min(axis=1)
+
+
+def spread(ids: np.ndarray) -> np.ndarray:
+    """A hash of ids that isn't below zero."""
+    h = ids.astype(np.int64).view(np.uint64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+class Best:
+    """The k nearest so far of each of n queries, in the order of distance and id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.d, self.x = k, np.full((n, k), np.inf), np.zeros((n, k), np.int64)
+
+    def add(self, r: np.ndarray, x: np.ndarray, d: np.ndarray) -> None:
+        rows = np.unique(r)
+        r, x, d = np.concatenate([np.repeat(rows, self.k), r]), np.concatenate([self.x[rows].ravel(), x]), np.concatenate([self.d[rows].ravel(), d])
+        order = np.lexsort((x, d, r))
+        r, x, d = r[order], x[order], d[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = nth < self.k
+        self.x[r[keep], nth[keep]], self.d[r[keep], nth[keep]] = x[keep], d[keep]
+
+
+def loaded(path: str, files: list[str], dim: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and pivot distances of a group, from its files."""
+    system, root = opened(path)
+    columns = {"ids": [], "vs": [], "ps": []}
+    for f in files:
+        t = pq.read_table(f"{root}/{f}", columns=list(columns), filesystem=system, partitioning=None)
+        for c, held in columns.items():
+            held += [np.frombuffer(b.as_buffer(), {"ids": "<i8", "vs": kind, "ps": "<f8"}[c]) for b in t.column(c)]
+    ids = np.concatenate(columns["ids"])
+    return ids, np.concatenate(columns["vs"]).reshape(-1, dim).astype(float), np.concatenate(columns["ps"]).reshape(len(ids), -1)
+
+
 def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, group: int = GROUP) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance): the k nearest other vectors of every vector, Euclidean, exact.
 
@@ -186,107 +237,130 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     id. A row takes part, as query and as candidate, if it has an id and a vector of the commonest length without null or NaN or infinite elements (of
     equally common lengths the largest); other rows get no result. Rows that repeat an id count once, with the smallest vector. With fewer than
     k others all are returned. An empty table gives an empty table; further columns aren't read, so their names don't matter. Squared distances
-    must not overflow float64 (elements up to about 1e150).
+    must not overflow float64 (elements up to about 1e150). The shared folder holds the vectors and their pivot distances once while this runs, then the
+    result; Python workers read it (see `opened`).
     """
     spark = vectors.sparkSession
-    rows = vectors.select(quoted(id_col).cast("bigint").alias("id"), quoted(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    sc = spark.sparkContext
+    source = vectors.select(quoted(vector_col).alias("v")).schema["v"].dataType
+    single = isinstance(source, T.ArrayType) and isinstance(source.elementType, T.FloatType)  # stays as it is where it is stored
+    rows = vectors.select(quoted(id_col).cast("bigint").alias("id"), quoted(vector_col).cast("array<float>" if single else "array<double>").alias("v")).filter("id is not null and v is not null")
     rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("v") > 0))
     common = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
     schema = "vec_id bigint, rank int, neighbour_id bigint, distance double"
     if common is None:
         return spark.createDataFrame([], schema)
-    rows = rows.filter(F.size("v") == common[0]).groupBy("id").agg(F.min("v").alias("v"))
+    dim, kind = common[0], "<f4" if single else "<f8"
+    rows = rows.filter(F.size("v") == dim)
+    # only rows whose ids repeat shuffle for it
+    once, held = split_rows(rows, [F.col("id")], cut(rows.groupBy("id").count().filter("count > 1").select("id")))
+    held = held.groupBy("id").agg(F.min("v").alias("v"))
+    rows = held if once is None else once.unionByName(held)
     sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(16 * pivots).select("v").collect()], float)
-    shared = spark.sparkContext.broadcast(choose_pivots(sample, pivots))
+    shared = sc.broadcast(choose_pivots(sample, pivots))
 
-    def pivot_table(batches):
+    # the vectors of one nearest pivot are cut at quantiles of their distance to it; those that still are too many, at equal distances say, by a hash
+    def spot(batches):
         for batch in batches:
             if batch.num_rows:
-                d = distances(_matrix(batch.column(1)), shared.value)
-                p = pa.ListArray.from_arrays(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32), d.ravel())
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "v": batch.column(1), "p": p, "home": pa.array(d.argmin(axis=1).astype(np.int32)), "far": pa.array(d.min(axis=1))})
+                home, far = placed(batch, shared.value)
+                yield pa.RecordBatch.from_pydict({"home": pa.array(home.astype(np.int32)), "far": pa.array(far)})
 
-    table = cut(rows.mapInArrow(pivot_table, "id bigint, v array<double>, p array<double>, home int, far double"))
-    # the vectors of one nearest pivot are cut at quantiles of their distance to it; those that still are too many, at equal distances say, by a hash
-    sizes = {r[0]: r[1] for r in table.groupBy("home").agg(F.count("*")).collect()}  # at most one row a pivot
+    spots = cut(rows.mapInArrow(spot, "home int, far double"))
+    sizes = {r[0]: r[1] for r in spots.groupBy("home").agg(F.count("*")).collect()}  # at most one row a pivot
     most = max(2, -(-max(sizes.values()) // group))
     shares = [F.lit(j / most) for j in range(1, most)]
-    edges = F.broadcast(table.groupBy("home").agg(F.percentile_approx("far", F.array(*shares), F.lit(100 * most)).alias("edges"), F.count("*").alias("m")))
-    step = F.ceil(F.lit(float(most)) / F.ceil(F.col("m") / group)).cast("int")  # a home with fewer vectors takes every step-th edge
-    ring = F.floor(F.aggregate("edges", F.lit(0), lambda n, e: n + (e < F.col("far")).cast("int")) / step).cast("int")
-    table = table.join(edges, "home").select("home", ring.alias("ring"), "id", "v", "p")
-    held = table.groupBy("home", "ring").agg(F.count("*").alias("m")).collect()  # about one row a group
-    first, at, room = [], -1, 0
-    for h, r, m in sorted(tuple(x) for x in held):  # small ones share a group
+    cuts = [np.zeros(0)] * len(shared.value)  # about a number a group
+    for h, edges in spots.groupBy("home").agg(F.percentile_approx("far", F.array(*shares), F.lit(100 * most))).collect():
+        step = -(-most // -(-sizes[h] // group))  # a home with fewer vectors takes every step-th edge
+        cuts[h] = np.array(edges[step - 1 :: step])
+    edges_of = sc.broadcast(cuts)
+
+    def ring_of(home: np.ndarray, far: np.ndarray) -> np.ndarray:
+        ring = np.zeros(len(home), np.int64)
+        for h in np.unique(home):
+            ring[home == h] = np.searchsorted(edges_of.value[h], far[home == h])
+        return ring
+
+    def rings(batches):
+        for batch in batches:
+            if batch.num_rows:
+                home, far = (c.to_numpy() for c in batch.columns)
+                both, m = np.unique(np.stack([home, ring_of(home, far)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"home": pa.array(both[0].astype(np.int32)), "ring": pa.array(both[1].astype(np.int32)), "m": pa.array(m.astype(np.int64))})
+
+    counted = spots.mapInArrow(rings, "home int, ring int, m bigint").groupBy("home", "ring").agg(F.sum("m").alias("m")).collect()  # about one row a group
+    first, parts_of, at, room = [np.zeros(len(c) + 1, np.int64) for c in cuts], [np.ones(len(c) + 1, np.int64) for c in cuts], -1, 0
+    for h, r, m in sorted(tuple(x) for x in counted):  # small ones share a group
         parts = -(-m // (group + group // 2))
         if m > room:
             at, room = at + 1, group + group // 4
-        first.append((h, r, at, parts))
+        first[h][r], parts_of[h][r] = at, parts
         room -= m
         if parts > 1:
             at, room = at + parts - 1, 0
-    places = spark.createDataFrame(first, "home int, ring int, first int, parts int")
-    groups = at + 1
-    table = cut(table.join(places, ["home", "ring"]).select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("g"), "id", "v", "p").repartition(min(groups, 1 << 20), "g"))
+    groups, places = at + 1, sc.broadcast((first, parts_of))
 
-    found_schema = "q bigint, x bigint, d double"
-
-    def found(qid, xid, r, c, d):
-        return pa.RecordBatch.from_pydict({"q": pa.array(qid[r]), "x": pa.array(xid[c]), "d": pa.array(d)})
-
-    def at_home(batches):
-        for t in _by_key(batches):
-            ids, v, p = t.column("id").to_numpy(), _matrix(t.column("v")), _matrix(t.column("p"))
-            r, c, d, _ = search(v, ids, p, np.full(len(ids), np.inf), v, ids, p, k)
-            yield found(ids, ids, r, c, d)
-
-    def ranges(batches):
+    def grouped(batches):
+        for batch in batches:
+            if batch.num_rows:
+                home, far = placed(batch, shared.value)
+                ring, h, g = ring_of(home, far), spread(batch.column("id").to_numpy()), np.empty(len(home), np.int32)
+                for a in np.unique(home):
+                    mine = home == a
+                    g[mine] = places.value[0][a][ring[mine]] + h[mine] % places.value[1][a][ring[mine]]
+                yield pa.RecordBatch.from_pydict({"g": pa.array(g), "id": batch.column("id"), "v": batch.column("v")})
+
+    def packed(batches):
+        """A group as rows of about a megabyte: bytes of ids, vectors and pivot distances, and the least and the largest distance to each pivot."""
         for t in _by_key(batches):
-            p = _matrix(t.column("p"))
-            yield pa.RecordBatch.from_pydict({"g": pa.array([t.column(0)[0].as_py()], pa.int32()), "lo": pa.array([p.min(axis=0).tolist()]), "hi": pa.array([p.max(axis=0).tolist()])})
-
-    table = table.sortWithinPartitions("g")
-    bounds = cut(table.select("g", "p").mapInArrow(ranges, "g int, lo array<double>, hi array<double>"))
-    home = cut(table.mapInArrow(at_home, found_schema))
-    # the k-th best so far; infinite where the own group has fewer than k others
-    tau = home.groupBy("q").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("tau"))
-    queries = cut(table.join(tau, table["id"] == tau["q"], "left").select("g", "id", "v", "p", F.coalesce("tau", F.lit(float("inf"))).alias("tau")))
-    worst = queries.groupBy("g").agg(F.max("tau").alias("worst"))
-
-    # pairs of groups whose bound, the largest gap between their ranges at any pivot, lies below the worst tau; then the queries whose own tau and
-    # pivot distances pass. What rounding may hide gives way as in `search`.
-    def passes(gap, limit, reach):
-        return gap <= limit + TIE + 1e-12 * (limit + reach)
-
-    def at_most(*lists):
-        return F.greatest(*[F.array_max(x) for x in lists])
-
-    a, b = bounds.join(worst, "g").select(F.col("g").alias("qg"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), "worst"), bounds.select(F.col("g").alias("xg"), "lo", "hi")
-    gap = F.array_max(F.zip_with(F.zip_with("qlo", "hi", lambda x, y: x - y), F.zip_with("lo", "qhi", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
-    pairs = cut(a.crossJoin(b).filter((F.col("qg") != F.col("xg")) & passes(gap, F.col("worst"), at_most("qhi", "hi"))).select("qg", "xg", "lo", "hi"))
-    own = F.array_max(F.zip_with(F.zip_with("lo", "p", lambda x, y: x - y), F.zip_with("p", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
-    going = pairs.join(queries, F.col("qg") == F.col("g")).filter(passes(own, F.col("tau"), at_most("p", "hi")))
-    # the queries of a group come in chunks of about as many as it has candidates; each chunk meets the candidates once
-    chunks = going.groupBy("xg").agg(F.ceil(F.count("*") / group).cast("int").alias("chunks"))
-    chunks = cut(chunks.withColumn("lane", F.sum("chunks").over(Window.orderBy("xg").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["lane"]))
-    lanes = chunks.agg(F.sum("chunks")).first()[0]
-    if not lanes:
-        searched = home
-    else:
-        wide = lambda t: t.select((F.col("lane") + F.col("part")).cast("int").alias("key"), "side", "id", "v", "p", "tau")
-        come = wide(going.join(chunks, "xg").withColumn("part", F.pmod(F.xxhash64("id"), "chunks")).withColumn("side", F.lit(0)))
-        stay = wide(table.join(chunks, table["g"] == chunks["xg"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1)).withColumn("tau", F.lit(0.0)))
-
-        def elsewhere(batches):
-            for t in _by_key(batches):
-                side = t.column("side").to_numpy()
-                ids, v, p, tau_of = t.column("id").to_numpy(), _matrix(t.column("v")), _matrix(t.column("p")), t.column("tau").to_numpy()
-                q, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                r, c, d, _ = search(v[q], ids[q], p[q], tau_of[q], v[x], ids[x], p[x], k)
-                yield found(ids[q], ids[x], r, c, d)
-
-        away = come.unionByName(stay).repartition(min(2 * int(lanes), 1 << 20), "key").sortWithinPartitions("key").mapInArrow(elsewhere, found_schema)
-        searched = home.unionByName(away)
-    order = Window.partitionBy("q").orderBy("d", "x")
-    ranked = searched.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("vec_id"), "rank", F.col("x").alias("neighbour_id"), F.col("d").alias("distance"))
+            ids, v = t.column("id").to_numpy(), _matrix(t.column("v"))
+            many = max(1, 1_000_000 // (8 * (dim + len(shared.value))))
+            for a in range(0, len(ids), many):
+                part = v[a : a + many]
+                p = distances(part.astype(float), shared.value)
+                blobs = {"ids": ids[a : a + many].astype("<i8"), "vs": part.astype(kind), "ps": p.astype("<f8")}
+                sides = {"lo": pa.array([p.min(axis=0).tolist()]), "hi": pa.array([p.max(axis=0).tolist()])}
+                yield pa.RecordBatch.from_pydict({"g": pa.array([t.column(0)[0].as_py()], pa.int32()), "n": pa.array([len(part)], pa.int32())} | {c: pa.array([np.ascontiguousarray(b).tobytes()], pa.binary()) for c, b in blobs.items()} | sides)
+
+    table = rows.mapInArrow(grouped, f"g int, id bigint, v array<{'float' if single else 'double'}>").repartition(min(groups, 1 << 20), "g").sortWithinPartitions("g")
+    table = table.mapInArrow(packed, "g int, n int, ids binary, vs binary, ps binary, lo array<double>, hi array<double>")
+    path = written(table, "g", compression="none", **{"parquet.enable.dictionary": "false"})
+    try:
+        held_in = spark.read.parquet(path).select("g", "n", "lo", "hi", F.col("_metadata.file_name").alias("file"))
+        sides = [F.array(*[f(F.col(c)[j]) for j in range(len(shared.value))]).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
+        there = sorted(tuple(r) for r in held_in.groupBy("g").agg(F.sum("n"), *sides, F.collect_set("file")).collect())  # a row a group
+        names, number = [[f"g={r[0]}/{f}" for f in sorted(r[4])] for r in there], [r[1] for r in there]
+        index = sc.broadcast((names, np.array([r[2] for r in there], float), np.array([r[3] for r in there], float)))
+        # the queries of a group are cut into tasks where there are fewer groups than would keep all cores busy
+        pieces = max(1, -(-2 * max(sc.defaultParallelism, shuffle_partitions(spark)) // len(there)))
+        jobs = [(g, a, b) for g, m in enumerate(number) for n in [min(pieces, -(-m // 256))] for a, b in [(m * j // n, m * (j + 1) // n) for j in range(n)]]
+        todo = sc.broadcast(jobs)
+
+        def searched(batches):
+            for batch in batches:
+                for job in batch.column(0).to_pylist():
+                    g, a, b = todo.value[job]
+                    names, lo, hi = index.value
+                    qid, q, qp = (x[a:b] for x in loaded(path, names[g], dim, kind))
+                    best = Best(len(qid), k)
+                    # the largest gap at any pivot between the ranges of the queries and a group is a lower bound; the own group first, then in its order
+                    far = np.maximum(lo - qp.max(axis=0), qp.min(axis=0) - hi).max(axis=1)
+                    far[g] = -np.inf
+                    reach = np.maximum(qp.max(), hi.max(axis=1))
+                    for x in np.argsort(far, kind="stable"):
+                        tau = best.d[:, -1]
+                        if not may_hold(far[x], tau.max(), reach[x]):
+                            continue
+                        own = np.maximum(lo[x] - qp, qp - hi[x]).max(axis=1)
+                        rows = np.flatnonzero(may_hold(own, tau, reach[x]))
+                        if len(rows):
+                            xid, v, p = loaded(path, names[x], dim, kind)
+                            r, c, d, _ = search(q[rows], qid[rows], qp[rows], tau[rows], v, xid, p, k)
+                            best.add(rows[r], xid[c], d)
+                    r, c = np.nonzero(np.isfinite(best.d))
+                    yield pa.RecordBatch.from_pydict({"vec_id": pa.array(qid[r]), "rank": pa.array((c + 1).astype(np.int32)), "neighbour_id": pa.array(best.x[r, c]), "distance": pa.array(best.d[r, c])})
+
+        return cut(spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(searched, schema))
+    finally:
+        removed(spark, path)

@@ -5,6 +5,7 @@ import itertools
 import random
 import textwrap
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from sedimenta.llm import bpe as bpe_mod
 from sedimenta.llm import chat, common, exact_dedup, licenses, lm_score, near_dedup, packing, quality, templates, topk, toxicity
-from sedimenta.session import table
+from sedimenta.session import ensure_checkpoint_dir, table
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("__hit", T.StringType()), T.StructField("keep", T.MapType(T.StringType(), T.IntegerType())), T.StructField("id", T.IntegerType())])
 
@@ -925,6 +926,35 @@ def test_topk_on_odd_rows(spark):
     assert topk.nearest(df.filter("vec_id = 1")).count() == 0
 
 
+def stored(spark):
+    """Bytes of shuffle written so far, and of the shared folder now."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())), sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+
+def test_topk_stores_vectors_once_however_many_groups_are_searched(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 24))  # no bound rules a group out
+    df = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    shuffled, kept = stored(spark)
+    out = topk.nearest(df, 3, group=100)
+    assert out.count() == 9000
+    again, left = stored(spark)
+    assert again - shuffled + max(0, left - kept) < 4 * x.nbytes
+    assert not list(Path(ensure_checkpoint_dir(spark).removeprefix("file:")).glob("table-*"))
+
+
+def test_topk_of_repeated_ids_and_single_precision(spark):
+    x = np.random.default_rng(9).normal(size=(400, 6)).astype(np.float32)
+    rows = [(k % 390, [float(a) for a in v]) for k, v in enumerate(x)]  # ten ids twice
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    vectors = {i: min(v for j, v in rows if j == i) for i in range(390)}
+    got = {(r.vec_id, r["rank"]): (r.neighbour_id, r.distance) for r in topk.nearest(df, 4, group=50).collect()}
+    assert got == {(i, n + 1): pair for i, near in brute(vectors, 4).items() for n, pair in enumerate(near)}
+
+
 # ------------------------------------------------------------------ 10
 
 

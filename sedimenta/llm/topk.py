@@ -50,13 +50,11 @@ def given_way(tau: np.ndarray, reach: float) -> np.ndarray:
 
 
 class Tile:
-    """Candidates that many queries search: their vectors, and their pivot distances as shares of `reach` in single precision."""
+    """Candidates that many queries search: their pivot distances as shares of `reach` in single precision."""
 
-    def __init__(self, x: np.ndarray, xp: np.ndarray, reach: float) -> None:
+    def __init__(self, xp: np.ndarray, reach: float) -> None:
         self.reach = reach
         self.p = np.ascontiguousarray((xp / reach).astype(np.float32).T)
-        self.square = (x * x).sum(axis=1)
-        self.form = np.concatenate([-2 * x.T, self.square[None], np.ones((1, len(x)))])  # (q, 1, |q|^2) times this: squared distances
 
     def bounds(self, qp: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Lower bounds (queries x candidates) of the distances, as shares of `reach`. Pivots are added while they still rule candidates out."""
@@ -76,27 +74,87 @@ class Tile:
         return out
 
 
+class Form:
+    """Squared distances of queries and candidates as one matrix product, in units of `scale`: vectors relative to `centre` and no longer than one unit,
+    in single or double precision. No square is off by more than `loose`."""
+
+    def __init__(self, x: np.ndarray, centre: np.ndarray, scale: float, kind: type) -> None:
+        self.kind, self.centre, self.scale, self.n = kind, centre, scale, len(x)
+        self.loose = 8 * (x.shape[1] + 4) * float(np.finfo(kind).eps) / 2
+        self.form = np.zeros((x.shape[1] + 1, -(-len(x) // 8) * 8), kind)  # places up to a multiple of 8 are infinitely far
+        y = ((x - centre) / scale).astype(kind)
+        self.form[:-1, : self.n] = -2 * y.T
+        self.form[-1] = np.inf
+        self.form[-1, : self.n] = (y.astype(float) ** 2).sum(axis=1)
+        self.room = np.empty((0, self.form.shape[1]), kind), np.empty((0, self.form.shape[1]), bool)
+
+    def squares(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The squares less those of the queries, in a matrix that the next call takes again; the squares of the queries."""
+        q = np.concatenate([((q - self.centre) / self.scale).astype(self.kind), np.ones((len(q), 1), self.kind)], axis=1)
+        if len(self.room[0]) < len(q):
+            self.room = tuple(np.empty((len(q), a.shape[1]), a.dtype) for a in self.room)
+        return np.matmul(q, self.form, out=self.room[0][: len(q)]), (q[:, :-1].astype(float) ** 2).sum(axis=1)
+
+    def kth(self, q: np.ndarray, k: int) -> np.ndarray:
+        """A distance that isn't below that of the query's k + 1-th nearest candidate, which there must be."""
+        square, own = self.squares(q)
+        return self.scale * np.sqrt(np.maximum(np.partition(square, k, axis=1)[:, k] + own, 0) + self.loose)
+
+    def near(self, q: np.ndarray, limit: np.ndarray, reach: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query row, candidate), ordered by row, of all that may lie within `limit`, and a limit as in `kth` where so many were found. Of
+        many pairs those beyond it are left out."""
+        square, own = self.squares(q)
+
+        def most(limit: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                return ((given_way(limit, reach) / self.scale) ** 2 + self.loose).astype(self.kind)
+
+        flag = np.less_equal(square, (most(limit) - own).astype(self.kind)[:, None], out=self.room[1][: len(q)])
+        word = np.flatnonzero(flag.view(np.uint64))  # hits are rare
+        at, bit = np.nonzero(flag.reshape(-1, 8)[word])
+        r, c = np.divmod(8 * word[at] + bit, flag.shape[1])
+        r, c = r[c < self.n], c[c < self.n]
+        least = np.full(len(q), np.inf)
+        if len(r) > 2 * k * len(q):
+            value = square[r, c] + own[r]
+            order = np.lexsort((value, r))
+            last = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) == k)  # the k + 1-th of a row stands there
+            least[r[last]] = self.scale * np.sqrt(np.maximum(value[order[last]], 0) + self.loose)
+            keep = value <= most(least)[r]
+            r, c = r[keep], c[keep]
+        return r, c, least
+
+
 ULP = np.float32(4 * 2.0**-24)  # by which a single-precision bound may be too high, as a share of `reach`
-FEW = 16  # a query whose bounds leave less than one in so many candidates takes them in order; else the rest is evaluated at once
+FEW = 16  # a query whose bounds leave less than one in so many candidates takes them in order; else all are evaluated at once
+WIDE = 4  # more than one in so many: not even their order is asked for
+PROBE = 512  # candidates that give a first k-th distance
 
 
 def search(q: np.ndarray, qid: np.ndarray, qp: np.ndarray, tau: np.ndarray, x: np.ndarray, xid: np.ndarray, xp: np.ndarray, k: int, batch: int = 32, step: int = 32):
     """The k best candidates of each query that may lie within its `tau`: (query row, candidate row, distance), and how
-    many pairs were evaluated. Equal ids aren't neighbours. A query without a k-th best distance evaluates the candidates of lowest bounds first. Then
-    it takes those below that distance in the order of their bounds, in growing steps, until the next bound is above it; where the bounds rule
-    hardly anything out, what is left is evaluated at once."""
+    many pairs were evaluated. Equal ids aren't neighbours. A query without a k-th best distance takes it from some of the candidates. Then
+    it takes those below that distance in the order of their bounds, in growing steps, until the next bound is above it; where bounds leave many, or those
+    of every `FEW`-th candidate show that they will, all candidates are evaluated at once and the near ones again, exactly."""
     out_q, out_x, out_d, evaluated = [], [], [], 0
     reach = max(float(np.abs(qp).max(initial=0.0)), float(np.abs(xp).max(initial=0.0)), 1e-300)
-    tile, n = Tile(x, xp, reach), len(x)
-    length = float(np.sqrt(max(tile.square.max(initial=0.0), (q * q).sum(axis=1).max(initial=0.0))))
-    loose = 8 * (x.shape[1] + 4) * 2.0**-52 * length**2  # error of a squared distance in matrix form
+    n = len(x)
     size = min(n, max(step, 2 * k))
+    if n and len(q):
+        tile, probe = Tile(xp, reach), Tile(xp[::FEW], reach)
+        centre = x.mean(axis=0)
+        scale = max(1e-300, *(float(np.sqrt(((y - centre) ** 2).sum(axis=1).max())) for y in (x, q)))
+        some = x[:: max(1, n // max(PROBE, 8 * (k + 1)))]
+        forms: dict = {}
+
+        def form(*key):
+            if key not in forms:
+                forms[key] = Form(some if key[1] else x, centre, scale, key[0])
+            return forms[key]
+
     for lo in range(0, len(q) if n else 0, batch):
         rows = np.arange(lo, min(len(q), lo + batch))
         t = tau[rows].astype(float)  # the k-th best distance so far
-        bound = tile.bounds(qp[rows], (given_way(t, reach) / reach + ULP).astype(np.float32))
-        if np.isin(qid[rows], xid).any():
-            bound[qid[rows][:, None] == xid] = np.nan  # below no limit, last in every order
         best_d, best_x = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1, np.int64)
 
         def take(r: np.ndarray, c: np.ndarray) -> None:
@@ -116,23 +174,36 @@ def search(q: np.ndarray, qid: np.ndarray, qp: np.ndarray, tau: np.ndarray, x: n
             best_d[:], best_x[:] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_x, order, 1)
             np.minimum(t, best_d[:, -1], out=t)
 
+        def others(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+            return qid[rows[r]] != xid[c]
+
         limit = lambda: (given_way(t, reach) / reach + ULP).astype(np.float32)  # noqa: B023, E731
-        if len(new := np.flatnonzero(np.isinf(t))):
-            cols = np.sort(np.argpartition(bound[new], size - 1, axis=1)[:, :size], axis=1)
-            there = ~np.isnan(np.take_along_axis(bound[new], cols, 1))
-            evaluated += int(there.sum())
-            take(np.repeat(new, there.sum(axis=1)), cols[there])
-            bound[new[:, None], cols] = np.nan
-        open_ = bound <= limit()[:, None]
-        left = np.count_nonzero(open_, axis=1)
-        few, many = np.flatnonzero((left > 0) & (left * FEW <= n)), np.flatnonzero(left * FEW > n)
+        if n > k + 1 and len(new := np.flatnonzero(np.isinf(t))):  # one of the k + 1 nearest may be the query itself
+            t[new] = form(np.float64, True).kth(q[rows[new]], k)
+            evaluated += len(new) * len(some)
+        wide = np.count_nonzero(probe.bounds(qp[rows], limit()) <= limit()[:, None], axis=1) * WIDE > probe.p.shape[1]
+        few, many = np.flatnonzero(~wide), np.flatnonzero(wide)
         if len(few):
-            r, c = np.nonzero(open_[few])
-            r, b = few[r], bound[few[r], c]
+            bound = tile.bounds(qp[rows[few]], limit()[few])
+            open_ = bound <= limit()[few, None]
+            left = np.count_nonzero(open_, axis=1)
+            if len(again := np.flatnonzero(left * FEW > n)):  # those of lowest bounds may bring a smaller limit
+                cols = np.sort(np.argpartition(bound[again], size - 1, axis=1)[:, :size], axis=1)
+                r, c = np.repeat(few[again], size), cols.ravel()
+                ok = others(r, c)
+                evaluated += int(ok.sum())
+                take(r[ok], c[ok])
+                bound[again[:, None], cols] = np.nan  # below no limit
+                open_ = bound <= limit()[few, None]
+                left = np.count_nonzero(open_, axis=1)
+            r, c = np.nonzero(open_ & (left * FEW <= n)[:, None])
+            b, r = bound[r, c], few[r]
+            many = np.sort(np.concatenate([many, few[left * FEW > n]]))
             order = np.lexsort((b, r))
+            order = order[others(r[order], c[order])]
             r, c, b = r[order], c[order], b[order]
             nth, begin, width = np.arange(len(r)) - np.searchsorted(r, r), 0, size
-            while begin <= nth.max():
+            while begin <= nth.max(initial=-1):
                 now = (nth >= begin) & (nth < begin + width) & (b <= limit()[r])
                 if not now.any():
                     break
@@ -140,14 +211,16 @@ def search(q: np.ndarray, qid: np.ndarray, qp: np.ndarray, tau: np.ndarray, x: n
                 take(r[now], c[now])
                 begin, width = begin + width, 4 * width
         if len(many):
-            mine = q[rows[many]]
-            square = np.concatenate([mine, np.ones((len(many), 1)), (mine * mine).sum(axis=1)[:, None]], axis=1) @ tile.form
-            evaluated += square.size
-            if n > k + 1:  # one of the k + 1 nearest may be the query itself
-                t[many] = np.minimum(t[many], np.sqrt(np.maximum(np.partition(square, k, axis=1)[:, k], 0) + loose))
-            r, c = np.nonzero(square <= (given_way(t[many], reach) ** 2 + loose)[:, None])
-            ok = open_[many[r], c]
-            take(many[r[ok]], c[ok])
+            # single precision, unless its error is large against the distances that are looked for
+            single = np.median(t[many]) ** 2 > 64 * 8 * (x.shape[1] + 4) * 2.0**-24 * scale**2
+            f = form(np.float32 if single else np.float64, False)
+            evaluated += len(many) * n
+            best_d[many], best_x[many] = np.inf, -1
+            r, c, least = f.near(q[rows[many]], t[many], reach, k)
+            t[many] = np.minimum(t[many], least)
+            r = many[r]
+            ok = others(r, c)
+            take(r[ok], c[ok])
         r, c = np.nonzero((best_x >= 0) & (best_d <= given_way(tau[rows], reach)[:, None]))
         out_q.append(rows[r])
         out_x.append(best_x[r, c])
@@ -356,7 +429,7 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
                         rows = np.flatnonzero(may_hold(own, tau, reach[x]))
                         if len(rows):
                             xid, v, p = loaded(path, names[x], dim, kind)
-                            r, c, d, _ = search(q[rows], qid[rows], qp[rows], tau[rows], v, xid, p, k)
+                            r, c, d, _ = search(q[rows], qid[rows], qp[rows], tau[rows], v, xid, p, k, batch=128)
                             best.add(rows[r], xid[c], d)
                     r, c = np.nonzero(np.isfinite(best.d))
                     yield pa.RecordBatch.from_pydict({"vec_id": pa.array(qid[r]), "rank": pa.array((c + 1).astype(np.int32)), "neighbour_id": pa.array(best.x[r, c]), "distance": pa.array(best.d[r, c])})

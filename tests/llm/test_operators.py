@@ -955,6 +955,31 @@ def test_topk_of_repeated_ids_and_single_precision(spark):
     assert got == {(i, n + 1): pair for i, near in brute(vectors, 4).items() for n, pair in enumerate(near)}
 
 
+def test_search_stops_asking_bounds_that_rule_nothing_out(monkeypatch):
+    x = np.random.default_rng(10).normal(size=(4000, 48))
+    p, ids, asked, bounds = topk.distances(x, x[:24]), np.arange(4000), [], topk.Tile.bounds
+    monkeypatch.setattr(topk.Tile, "bounds", lambda *a: asked.append(bounds(*a)) or asked[-1])
+    for tau in (np.inf, 8.0):
+        asked.clear()
+        topk.search(x[:500], ids[:500], p[:500], np.full(500, tau), x, ids, p, 5)
+        assert sum(b.size for b in asked) < 500 * 4000 / 4
+
+
+@pytest.mark.parametrize("offset, gap", [(0.0, 1.0), (3.0, 1e-2), (1e3, 1e-3), (1e6, 1.0), (0.0, 1e-7), (0.0, 1e30)])
+def test_search_is_exact_in_either_precision(offset, gap):
+    rng = np.random.default_rng(11)
+    x = offset + gap * rng.normal(size=(3000, 20))
+    x[:4] += 50 * gap  # the unit of length isn't that of the gaps
+    x[100:130] = x[100]
+    p, ids, k = topk.distances(x, topk.choose_pivots(x[::9], 16)), rng.permutation(3000), 6
+    for q, n in ((slice(0, 200), 3000), (slice(90, 140), 3000), (slice(0, 20), 5)):
+        r, c, d, _ = topk.search(x[q], ids[q], p[q], np.full(q.stop - q.start, np.inf), x[:n], ids[:n], p[:n], k)
+        for a in range(q.stop - q.start):
+            exact = np.round(np.sqrt(((x[:n] - x[q][a]) ** 2).sum(axis=1)), topk.PLACES)
+            want = [(v, i) for v, i in sorted(zip(exact, ids[:n])) if i != ids[q][a]][:k]
+            assert sorted(zip(d[r == a], ids[c[r == a]])) == want
+
+
 # ------------------------------------------------------------------ 10
 
 

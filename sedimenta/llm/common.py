@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ def removed(spark: SparkSession, path: str) -> None:
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it of a table of `written`, for Python workers that read parts of it themselves: whatever pyarrow opens
     (local and mounted folders, HDFS, S3, GCS)."""
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(quote(path.replace("s3a://", "s3://", 1), safe=":/@")) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

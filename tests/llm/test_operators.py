@@ -946,6 +946,15 @@ def test_topk_stores_vectors_once_however_many_groups_are_searched(spark):
     assert not list(Path(ensure_checkpoint_dir(spark).removeprefix("file:")).glob("table-*"))
 
 
+def test_shared_folder_opens_whatever_its_name(tmp_path):
+    place = tmp_path / "a b%20#c"
+    place.mkdir()
+    (place / "x").write_bytes(b"here")
+    for uri in (f"file:{place}", f"file://{place}", str(place)):
+        system, root = common.opened(uri)
+        assert system.open_input_file(f"{root}/x").read() == b"here"
+
+
 def test_topk_of_repeated_ids_and_single_precision(spark):
     x = np.random.default_rng(9).normal(size=(400, 6)).astype(np.float32)
     rows = [(k % 390, [float(a) for a in v]) for k, v in enumerate(x)]  # ten ids twice

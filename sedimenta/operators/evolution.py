@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,15 +33,18 @@ def snapshots(entries: DataFrame, edges: DataFrame, depth: int = 20) -> DataFram
 
 def change_events(snaps: DataFrame, born: bool = True, unchanged: bool = False) -> DataFrame:
     """(feature_id, commit_id, event_type, before, after, ratio) of snapshots(feature_id, commit_id, nodes, edges, depth, file): each against the
-    one before. One window over the feature gives all kinds; the events of a row are exploded from an array, not joined. With `unchanged` a snapshot
-    with no other event has one that says so."""
+    one before. One window over the feature gives all kinds; the events of a row are exploded from an array, not joined. A commit with several snapshots of a
+    feature has each kind once, by the first of them: a row knows the kinds that its forerunners had, in the window's order, and nothing is sorted again. With
+    `unchanged` a snapshot with no other event has one that says so."""
     w = Window.partitionBy("feature_id").orderBy("commit_id")
-    s = snaps.select("*", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("commit_id", "nodes", "edges", "depth", "file")])
+    tests = ["tests"] * ("tests" in snaps.columns)
+    kept = ["commit_id", "nodes", "edges", "depth", "file", *tests]
+    s = snaps.select("feature_id", *kept, *[F.lag(c).over(w).alias(f"p_{c}") for c in kept])
     had = F.col("p_commit_id").isNotNull()
 
     def event(name: str, cond, before, after, ratio=None):
         value = F.struct(F.lit(name).alias("event_type"), before.cast("string").alias("before"), after.cast("string").alias("after"), (ratio if ratio is not None else F.lit(None)).cast("double").alias("ratio"))
-        return F.when(cond, value)
+        return cond, value
 
     hundredths = lambda c: F.floor(F.col(c) * 100 / F.greatest(F.col(f"p_{c}"), F.lit(1)) + 0.5) / 100
     nr, dr = hundredths("nodes"), hundredths("depth")
@@ -54,16 +58,19 @@ def change_events(snaps: DataFrame, born: bool = True, unchanged: bool = False)
         event("DEP_REMOVED", had & (F.col("edges") < F.col("p_edges")), F.col("p_edges"), F.col("edges")),
         event("MOVED", had & (F.col("file") != F.col("p_file")), F.col("p_file"), F.col("file")),
     ]
-    if "tests" in snaps.columns:
-        before = F.lag("tests").over(w)
-        s = s.withColumn("p_tests", before)
+    if tests:
         events.append(event("TEST_ADDED", had & (F.col("tests") > F.col("p_tests")), F.col("p_tests"), F.col("tests")))
     if born:
         events.insert(0, event("BORN", ~had, F.lit(None).cast("string"), F.col("nodes")))
-    found = F.array_compact(F.array(*events))
+    bit = [F.when(cond, 1 << k).otherwise(0) for k, (cond, _) in enumerate(events)]
+    s = s.withColumn("kinds", functools.reduce(lambda a, b: a.bitwiseOR(b), bit))
     if unchanged:
-        found = F.when(F.size(found) > 0, found).otherwise(F.array(event("UNCHANGED", had, F.col("p_nodes"), F.col("nodes"))))
-    return s.select("feature_id", "commit_id", F.explode(found).alias("e")).select("feature_id", "commit_id", "e.*").dropDuplicates(["feature_id", "commit_id", "event_type"])
+        s = s.withColumn("kinds", F.when(had & (F.col("kinds") == 0), 1 << len(events)).otherwise(F.col("kinds")))
+        events.append(event("UNCHANGED", had, F.col("p_nodes"), F.col("nodes")))
+    same = Window.partitionBy("feature_id", "commit_id").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("p_kinds", F.coalesce(F.bit_or("kinds").over(same), F.lit(0)))
+    fresh = [F.when((F.col("kinds").bitwiseAND(1 << k) != 0) & (F.col("p_kinds").bitwiseAND(1 << k) == 0), value) for k, (_, value) in enumerate(events)]
+    return s.select("feature_id", "commit_id", F.explode(F.array(*fresh)).alias("e")).filter("e is not null").select("feature_id", "commit_id", "e.*")
 
 
 def following(df: DataFrame, column: str, name: str, width: int = 1 << 16) -> DataFrame:

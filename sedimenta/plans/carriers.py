@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.session import table
+from sedimenta.session import by_key, table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
@@ -42,9 +42,12 @@ CARRIERS: dict[str, str] = {
 }
 
 
-def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def carrier(spark: SparkSession, sf_dir: str, name: str, key: str = "") -> DataFrame:
+    """With `key`, a column of the tables that the carrier reads, their rows come together by it before they are grouped."""
     text = CARRIERS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
+    if key:
+        used = {t: by_key(df, key) for t, df in used.items()}
     text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)

@@ -336,7 +336,7 @@ def service_dependency(spark, d):
  UNION ALL SELECT feature_id, commit_id, 'DEP_REMOVED', pe::VARCHAR, edges::VARCHAR, NULL FROM s WHERE edges < pe
  UNION ALL SELECT feature_id, commit_id, 'MOVED', pf, file, NULL FROM s WHERE file <> pf""", "snapshots")
 def evolution_events_lag(spark, d):
-    return evolution.change_events(carrier(spark, d, "snapshots"))
+    return evolution.change_events(carrier(spark, d, "snapshots", "l_partkey"))
 
 
 @query("SELECT feature_id, commit_id, nodes, edges, depth FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY commit_id DESC) AS nth FROM snapshots) WHERE nth = 1", "snapshots")
@@ -736,7 +736,7 @@ _SIZES = "SELECT feature_id, commit_id, nodes, edges, depth, file, row_number()
 @query(f"""WITH s AS ({_SIZES}) SELECT b.feature_id, b.commit_id FROM s a JOIN s b ON a.feature_id = b.feature_id AND b.nth = a.nth + 1
  WHERE a.edges = b.edges AND a.file = b.file AND b.nodes < 1.3 * greatest(a.nodes, 1) AND b.nodes > 0.7 * greatest(a.nodes, 1) AND b.depth < 1.3 * greatest(a.depth, 1) AND b.depth > 0.7 * greatest(a.depth, 1)""", "snapshots")
 def unchanged_snapshots(spark, d):
-    return evolution.change_events(carrier(spark, d, "snapshots"), unchanged=True).filter("event_type = 'UNCHANGED'").select("feature_id", "commit_id")
+    return evolution.change_events(carrier(spark, d, "snapshots", "l_partkey"), unchanged=True).filter("event_type = 'UNCHANGED'").select("feature_id", "commit_id")
 
 
 @query("""SELECT 'svc' || CAST(s_nationkey AS VARCHAR) AS service, CASE s_suppkey % 3 WHEN 0 THEN 'kafka' WHEN 1 THEN 'rabbitmq' ELSE 'celery' END AS mq_type,

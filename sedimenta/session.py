@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+PART_BYTES, WIDE_PARTS = 4 << 20, 8
 
 
 def local_session(cpus: int | str = 8, app: str = "sedimenta", **conf: str) -> SparkSession:
@@ -51,6 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_key(df: DataFrame, column: str) -> DataFrame:
+    """The rows of a table read from files, those of a key in one partition; grouping and windows over the column need no other exchange. The number of
+    partitions follows the files' size, PART_BYTES a partition. Beyond as many partitions as a scan task writes straight to files (with more it holds its rows to
+    order them) a partition grows, to WIDE_PARTS times that, before there are more of them."""
+    sc = df.sparkSession.sparkContext
+    size, straight = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), int(sc.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    n = max(min(-(-size // PART_BYTES), straight), -(-size // (WIDE_PARTS * PART_BYTES)))
+    return df.repartition(max(sc.defaultParallelism, n), column)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables: the one that the cluster names (spark.checkpoint.dir). Where none is named, a
     folder of this machine serves local masters only; on a cluster its executors couldn't share it, so that is an error."""

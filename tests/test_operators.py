@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import os
 import random
 import sqlite3
 import subprocess
@@ -10,8 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta import session
 from sedimenta.functions import names, paths, rules
 from sedimenta.operators import backfill, evolution, graph, knowledge, planner, refactor, relational, semantic, telemetry, topology
+from sedimenta.plans import registry
 from sedimenta.sources import files, history, sqlite
 from sedimenta.streaming import telemetry as streams
 
@@ -205,6 +208,39 @@ def test_incremental_events_equal_full_events(spark):
     assert set(map(tuple, first.unionByName(second).collect())) == full
 
 
+def test_events_of_repeated_snapshots_come_once(spark):
+    rows = [(1, 1, 10, 2, 1, "a")] * 2 + [(1, 2, 20, 1, 2, "b")] * 3 + [(2, None, 5, 1, 1, "a")] * 3 + [(None, 1, 7, 1, 1, "a")]
+    s = spark.createDataFrame(rows, "feature_id int, commit_id int, nodes int, edges int, depth int, file string")
+    got = sorted((str(r.feature_id), str(r.commit_id), r.event_type, r.before, r.after, r.ratio) for r in evolution.change_events(s).collect())
+    second = [("DEP_REMOVED", "2", "1", None), ("EXTENDED", "1", "2", 2.0), ("GROWN", "10", "20", 2.0), ("MOVED", "a", "b", None)]
+    want = [("1", "1", "BORN", None, "10", None), *(("1", "2", *x) for x in second), ("2", "None", "BORN", None, "5", None), ("None", "1", "BORN", None, "7", None)]
+    assert got == want
+    quiet = evolution.change_events(s, unchanged=True).filter("event_type = 'UNCHANGED'")
+    assert sorted(map(tuple, quiet.collect())) == [(1, 1, "UNCHANGED", "10", "10", None), (1, 2, "UNCHANGED", "20", "20", None)]
+
+
+def test_added_tests_are_events(spark):
+    s = spark.createDataFrame([(1, 1, 4, 1, 1, "a", 0), (1, 2, 4, 1, 1, "a", 3)], "feature_id int, commit_id int, nodes int, edges int, depth int, file string, tests int")
+    assert list(map(tuple, evolution.change_events(s, born=False, unchanged=True).collect())) == [(1, 2, "TEST_ADDED", "0", "3", None)]
+
+
+@pytest.mark.parametrize("name", ["evolution_events_lag", "unchanged_snapshots"])
+def test_change_events_move_and_sort_rows_once(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange "), plan.count("Sort ["), plan.count("SortAggregate")) == (1, 1, 0)
+
+
+def test_partitions_follow_the_size_of_the_table(spark, sf, monkeypatch):
+    lines, size = session.table(spark, sf, "lineitem"), os.path.getsize(f"{sf}/lineitem.parquet")
+    for part, want in ((1 << 12, -(-size // (1 << 12))), (256, 200), (32, -(-size // 256))):
+        monkeypatch.setattr(session, "PART_BYTES", part)
+        found = session.by_key(lines, "l_partkey")
+        assert found.rdd.getNumPartitions() == want
+        assert found.select("l_partkey", F.spark_partition_id().alias("p")).distinct().groupBy("l_partkey").count().filter("count > 1").isEmpty()
+    monkeypatch.setattr(session, "PART_BYTES", 1 << 12)
+    assert registry.queries()["evolution_events_lag"](spark, sf).rdd.getNumPartitions() == -(-size // (1 << 12))
+
+
 # ---------------------------------------------------------------- knowledge, topology, telemetry, refactoring
 
 NODES = "id string, kind string, name string, qualified_name string, file_path string, start_line int, end_line int, signature string, decorators string"
